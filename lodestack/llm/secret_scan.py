@@ -24,6 +24,8 @@ MIN_VALUE = 6
 SAMPLE_DOCUMENTS = 4000
 #: Mean log-likelihood ratio of a character pair, in nats, from which a token counts as random.
 THRESHOLD = 0.7
+#: Weight of a single character's probability in that of a pair.
+PRIOR = 4.0
 
 _KINDS = ("assign", "access", "hex", "markov")
 
@@ -61,16 +63,24 @@ def labelled_samples(documents: DataFrame, text_col: str = "text", id_col: str =
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs (a * 128 + b), random against ordinary, with add-one smoothing over the 67 token characters and all others as one."""
+    """Log-likelihood ratios of character pairs (a * 128 + b), random against ordinary.
+
+    A pair's probability is smoothed by its second character's own (weight PRIOR), and that by add-one over the 67 token
+    characters and all others as one.
+    """
     pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))) * 128 + F.ascii(F.substring(F.col("text"), i + 1, F.lit(1))))
     counts = samples.where("length(text) > 1").select("is_random", F.explode(pairs).alias("pair")).groupBy("is_random", "pair").count().where("pair between 0 and 16383")
     got = {(r["is_random"], r["pair"]): r["count"] for r in counts.collect()}  # 2 * 128 * 128 rows at most
     first: dict = {}
+    last: dict = {}
     for (kind, pair), n in got.items():
         first[kind, pair // 128] = first.get((kind, pair // 128), 0) + n
+        last[kind, pair % 128] = last.get((kind, pair % 128), 0) + n
+    total = {k: sum(n for (kind, _), n in got.items() if kind is k) for k in (True, False)}
 
     def log_p(kind: bool, pair: int) -> float:
-        return math.log((got.get((kind, pair), 0) + 1) / (first.get((kind, pair // 128), 0) + 68))
+        alone = (last.get((kind, pair % 128), 0) + 1) / (total[kind] + 68)
+        return math.log((got.get((kind, pair), 0) + PRIOR * alone) / (first.get((kind, pair // 128), 0) + PRIOR))
 
     return [round(log_p(True, p) - log_p(False, p), 4) for p in range(128 * 128)]
 
