@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, language_id, secret_scan, url_filter
-from lodestack.llm.common import content_key
+from lodestack.llm import decontaminate, language_id, near_dedup, secret_scan, sentencepiece_codec, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,11 +48,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
+#: A public vocabulary file; copied nowhere.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    vocabulary = sentencepiece_codec.load(model_file)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.withColumn("ids", sentencepiece_codec.encode(spark, F.col("text"), vocabulary))
+    coded = coded.withColumn("decoded", sentencepiece_codec.decode(spark, F.col("ids"), vocabulary))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_codec.SPACE), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op7_language_id": op7_language_id,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 
