@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, language_id, near_dedup, secret_scan, sentencepiece_codec, url_filter
+from lodestack.llm import decontaminate, language_id, line_dedup, near_dedup, secret_scan, sentencepiece_codec, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: A public vocabulary file; copied nowhere.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontaminate": op4_decontaminate,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
