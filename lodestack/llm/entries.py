@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, language_id, line_dedup, near_dedup, secret_scan, sentencepiece_codec, url_filter
+from lodestack.llm import ann, decontaminate, language_id, line_dedup, near_dedup, secret_scan, sentencepiece_codec, url_filter, warc
+from lodestack.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lodestack/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.pages_of(warc.read(spark, path))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def crc_mod(c: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(n))
 
@@ -73,6 +85,8 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
+    "op6_ann": op6_ann,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
@@ -110,4 +124,11 @@ cover as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(
 who as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by doc_id)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cover using (doc_id) left join who using (doc_id)""",
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+g as (select *, max(page_id) over (partition by payload_digest) as origin from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id is distinct from origin then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id is distinct from origin then origin end as refers_to
+from g""",
 }
