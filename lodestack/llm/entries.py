@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import ann, decontaminate, language_id, line_dedup, near_dedup, secret_scan, sentencepiece_codec, url_filter, warc
+from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, near_dedup, secret_scan, sentencepiece_codec, url_filter, warc
 from lodestack.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, ratios))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) == 2)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"))
@@ -84,6 +88,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_lm_score": op3_lm_score,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_ann": op6_ann,
