@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
             counts = np.bincount(owner, minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(counts)])
             prints = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["hash", "at"]))
-            text = pa.compute.if_else(pa.array(counts > 0), b.column("t"), pa.scalar(None, b.schema.field("t").type))
+            text = pc.if_else(pa.array(counts > 0), b.column("t"), pa.scalar(None, b.schema.field("t").type))
             yield pa.record_batch([b.column("doc"), b.column("text_hash"), text, pa.array(np.diff(t.offsets), pa.int64()), prints], ["doc", "text_hash", "t", "n_words", "prints"])
 
     doc_type = documents.schema[id_col].dataType.simpleString()

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,7 +231,7 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 24
         for b in batches:
-            size = pa.compute.binary_length(b.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = pc.binary_length(b.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
             part = np.cumsum(size) // CHUNK_CHARS * (1 << 32) + np.arange(b.num_rows) // CHUNK_TEXTS
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,7 +232,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; a null text counts as empty and has none."""
-        texts = pa.compute.replace_substring(texts, SPACE, " ")  # to the model they are one character
+        texts = pc.replace_substring(texts, SPACE, " ")  # to the model they are one character
         raw, offsets = raw_bytes(texts)
         n = len(offsets) - 1
         if not len(raw):
@@ -321,8 +322,8 @@ def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
         table = pa.array([*pieces, b""], pa.large_binary())
         for lists in batches:
             flat = lists.flatten()
-            flat = pa.compute.fill_null(flat, len(pieces))
-            flat = pa.compute.if_else(pa.compute.and_(pa.compute.greater_equal(flat, 0), pa.compute.less(flat, len(pieces))), flat, len(pieces))
+            flat = pc.fill_null(flat, len(pieces))
+            flat = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), flat, len(pieces))
             parts = table.take(flat)
             ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
             data = bytes(parts.buffers()[2]) if len(parts) and parts.buffers()[2] is not None else b""
