@@ -7,8 +7,9 @@ nobody shares are skipped, and with them classes that have too few shared ones l
 signatures agree in MATCHES coordinates, and become links if the full sets are similar enough.
 
 A small posting list gives all its pairs, a long one the pairs with its centre, the member whose values are the most
-frequent. After these links have been verified, members of one long list that are still in different components are
-compared with each other, so no link between different components is lost, and copies are never expanded into all pairs.
+frequent. After these links have been verified, members of the long lists of one centre that are still in
+different components are compared block by block inside tasks that emit links only. So no link between different components
+is lost, and copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ MATCHES = 36
 SMALL_LIST = 12
 #: Members of one verification group.
 GROUP = 32
+#: Members of a block, when what is left between components of a long list is compared.
+BLOCK = 512
 BROADCAST_ROWS = 500_000
 
 _made = np.random.default_rng(20240501).integers(0, 1 << 63, (2, SIGNATURE), np.int64).view(np.uint64)
@@ -139,6 +142,40 @@ def _verified(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
     return runs.select("a", "salt", "b", "t").mapInArrow(similar, "a long, b long")
 
 
+def _between_components(rest: DataFrame, documents: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between members of one (centre, size, cid, component) list that are in different components.
+
+    A list is cut into blocks, and each pair of blocks compared in one task, which emits links only.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = rest.withColumns({"own": F.pmod(F.xxhash64("cid"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    members = materialize(own.select("centre", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("b"), "component"), "members")
+    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("b"), F.coalesce(text_col, F.lit("")).alias("t"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        g, offsets = _sets(t.column("t"), shingle)
+        signature, n = _signatures(g, offsets), np.diff(offsets)
+        name, component, block = (t.column(c).to_numpy() for c in ("b", "component", "own"))
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(block == t.column("x")[0].as_py()):
+            others = np.flatnonzero((block == t.column("y")[0].as_py()) & (component != component[i]))
+            others = others[(signature[others] == signature[i]).sum(1) >= MATCHES]
+            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+            if len(others):
+                own = g[offsets[i] : offsets[i + 1]]
+                at = np.repeat(offsets[others], n[others]) + np.arange(n[others].sum()) - np.repeat(np.cumsum(n[others]) - n[others], n[others])
+                inside = own[np.minimum(np.searchsorted(own, g[at]), len(own) - 1)] == g[at]
+                both = np.add.reduceat(inside.astype(np.int64), np.cumsum(n[others]) - n[others])
+                good = others[100 * both >= percent * (n[i] + n[others] - both)]
+                _, first = np.unique(component[good], return_index=True)  # one link between two components is enough
+                out += [(name[i], name[j]) for j in good[first]]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    run = texts.join(small(members, BROADCAST_ROWS), "b")
+    return run.groupBy("centre", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc id, n_shingles, component_id (smallest id reachable) and kept (it is the smallest).
 
@@ -160,17 +197,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
     links = materialize(_verified(pairs, documents, shingle, percent, id_col, text_col), "links")
     found = materialize(components(links), "components")
 
-    # long lists whose members are in several components yet: the pairs between those, a signature match in the join itself
-    where = listed.where(F.col("size") > SMALL_LIST).select("item", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    several = where.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item")
-    rest = materialize(where.join(several, "item", "left_semi").join(classes.select(F.col("id").alias("cid"), "signature"), "cid"), "rest")
+    # long lists around one centre whose members are in several components yet
+    around = listed.where(F.col("size") > SMALL_LIST).select("centre", "cid").distinct()
+    where = around.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    several = where.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("centre", "size")
+    rest = materialize(where.join(several, "centre"), "rest")
     if not rest.isEmpty():
-        x, y = rest.alias("x"), rest.alias("y")
-        more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.component") < F.col("y.component")) & (_equal(F.col("x.signature"), F.col("y.signature")) >= MATCHES)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-        more = materialize(more, "pairs")
+        more = materialize(_between_components(rest, documents, shingle, percent, id_col, text_col), "links")
         if not more.isEmpty():
-            links = links.unionByName(materialize(_verified(more, documents, shingle, percent, id_col, text_col), "links"))
-            found = materialize(components(links), "components")
+            found = materialize(components(links.unionByName(more)), "components")
 
     of_class = classes.select("n", "set1", "set2", F.col("id").alias("cid")).join(found.withColumnRenamed("node", "cid"), "cid", "left").select("n", "set1", "set2", F.coalesce("component", "cid").alias("component"))
     out = table.join(of_class, ["n", "set1", "set2"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
