@@ -24,6 +24,8 @@ from lodestack.llm.common import list_array, raw_bytes
 SPACE = "▁"
 #: Bytes of distinct segments that one suffix array covers; the next ones get another.
 INDEX_BYTES = 1 << 18
+#: Bytes of text that are cut into segments at once.
+SLICE_BYTES = 1 << 22
 _NONE = -1
 
 
@@ -121,6 +123,7 @@ def _columns(pieces: list[bytes], width: int) -> np.ndarray:
 class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.merges = v, _Merges(v)
+        self.lines = any(b"\n" in p for p in v.pieces)
         self.ids = np.array([i for i, p in enumerate(v.pieces) if p and self.merges.whole[i]])
         self.sizes = np.array([len(v.pieces[i]) for i in self.ids])
         self.width = -(-int(self.sizes.max()) // 8)
@@ -230,35 +233,46 @@ class Encoder:
             ids[byte] = self.v.byte_ids[text[first + within[byte]]]
         return ids.astype(np.int32), total
 
-    def encode(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text; a null text counts as empty and has none."""
-        texts = pc.replace_substring(texts, SPACE, " ")  # to the model they are one character
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(codes, distinct segments) of a slice of texts, and where each text's codes begin."""
         raw, offsets = raw_bytes(texts)
         n = len(offsets) - 1
         if not len(raw):
-            return list_array(np.zeros(0, np.int32), np.zeros(n + 1), pa.int32())
+            return np.zeros(0, np.int32), [], np.zeros(n + 1, np.int64)
         sizes = np.diff(offsets)
         full = sizes > 0
-        doc = np.repeat(np.arange(n), sizes)
         shift = np.cumsum(full)  # a dummy space before each text that is not empty
-        padded = np.full(len(raw) + int(full.sum()), 32, np.uint8)
-        padded[np.arange(len(raw)) + shift[doc]] = raw
+        padded = np.full(len(raw) + int(shift[-1]), 32, np.uint8)
+        padded[np.arange(len(raw)) + np.repeat(shift, sizes)] = raw
         edges = offsets + np.concatenate([[0], shift])
         cut = np.zeros(len(padded) + 1, bool)
         cut[edges] = True
         space = padded == 32
         cut[1:-1] |= space[1:] & ~space[:-1]
-        line = padded == 10  # alone where it has no piece, which only shortens segments
-        if 10 not in {p[0] for p in self.v.pieces if p}:
+        if not self.lines:  # a line break without a piece stays alone, which only shortens segments
+            line = padded == 10
             cut[1:-1] |= line[1:] | line[:-1]
         begin = np.flatnonzero(cut[:-1])
-        end = np.append(begin[1:], len(padded))
-        codes, distinct = _ranges(padded, begin, end)
-        ids, at = self.segments(distinct)
-        count = (at[1:] - at[:-1])[codes]
-        total = np.concatenate([[0], np.cumsum(count)])
-        pick = np.arange(total[-1]) - np.repeat(total[:-1] - at[:-1][codes], count)
-        return list_array(ids[pick], total[np.searchsorted(begin, edges)], pa.int32())
+        codes, distinct = _ranges(padded, begin, np.append(begin[1:], len(padded)))
+        return codes, distinct, np.searchsorted(begin, edges)
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; a null text counts as empty and has none."""
+        texts = pc.replace_substring(texts, SPACE, " ")  # to the model they are one character
+        index: dict[bytes, int] = {}
+        cut = []
+        for a, b in _runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+            codes, distinct, edges = self._cut(texts.slice(a, b - a))
+            known = np.array([index.setdefault(s, len(index)) for s in distinct], np.int64)
+            cut.append((known[codes].astype(np.int32), edges))
+        ids, at = self.segments(list(index))
+        out = []
+        for codes, edges in cut:
+            count = (at[1:] - at[:-1])[codes]
+            total = np.concatenate([[0], np.cumsum(count)])
+            pick = np.arange(total[-1]) - np.repeat(total[:-1] - at[:-1][codes], count)
+            out.append(list_array(ids[pick], total[edges], pa.int32()))
+        return pa.concat_arrays(out) if out else list_array(np.zeros(0, np.int32), np.zeros(1), pa.int32())
 
 
 def _ranges(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
