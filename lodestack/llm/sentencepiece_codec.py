@@ -60,6 +60,10 @@ def load(model_file: str) -> Vocabulary:
     return Vocabulary(pieces, ranks, byte_ids)
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
 class _Merges:
     """Merges between pieces: which piece two make, and the two that each was last made of."""
 
@@ -72,6 +76,8 @@ class _Merges:
         key = a[:, 0] << 32 | a[:, 1]
         order = np.argsort(key)
         self.keys, self.made = key[order], v.ranks[a[order, 2]]
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[_slot(self.keys)] = True
         by_pair = {(x, y): v.ranks[i] for x, y, i in pairs}
         self.whole = np.zeros(len(v.pieces), bool)
         for p, i in of.items():
@@ -87,8 +93,11 @@ class _Merges:
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], 1 << 40)
+        out = np.full(len(key), 1 << 40)
+        may = np.flatnonzero(self.filter[_slot(key)])  # most pairs make nothing, and one look tells
+        at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
+        out[may] = np.where(self.keys[at] == key[may], self.made[at], 1 << 40)
+        return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b, side by side, stay as they are.
@@ -128,6 +137,7 @@ class Encoder:
         self.sizes = np.array([len(v.pieces[i]) for i in self.ids])
         self.width = -(-int(self.sizes.max()) // 8)
         self.low = _columns([v.pieces[i] for i in self.ids], self.width)
+        self.long_heads = np.unique(self.low[self.sizes > 8, 0])
         self.high = _columns([v.pieces[i].ljust(8 * self.width, b"\xff") for i in self.ids], self.width)
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +147,14 @@ class Encoder:
         for j in range(8):
             word = word << np.uint64(8) | padded[j : j + len(word)]
         cols = [word[8 * j : 8 * j + len(text)] for j in range(self.width)]
-        suffixes = np.lexsort(cols[::-1])
+        suffixes = np.argsort(cols[0])
+        first = cols[0][suffixes]
+        # only where a longer piece begins with the same 8 bytes does the order of the bytes behind them matter
+        if len(self.long_heads):
+            at = np.minimum(np.searchsorted(self.long_heads, first), len(self.long_heads) - 1)
+            more = np.flatnonzero(self.long_heads[at] == first)
+            some = suffixes[more]
+            suffixes[more] = some[np.lexsort([c[some] for c in cols[::-1]])]
         cols = [c[suffixes] for c in cols]
         first = self._search(cols, self.low, False)
         last = self._search(cols, self.high, True)
