@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import ALNUM_WORDS, Tokens, content_key, list_array, materialize, shingle_hashes, small
+from lodestack.llm.common import ALNUM_WORDS, Tokens, content_key, list_array, materialize, shingle_hashes, slices, small
 
 WINDOW = 10
 K = 5
@@ -93,7 +93,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     wanted = np.unique(np.array([r["hash"] for r in kept.select("hash").distinct().collect()], np.int64)) if bounded else None
 
     def document_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             t, owner, hashes, at = _prints(b.column("t"), sizes, k, window)
             if wanted is not None:
                 hit = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes if len(wanted) else np.zeros(len(hashes), bool)

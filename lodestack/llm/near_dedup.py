@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import SPACE_WORDS, Tokens, list_array, materialize, mix, shingle_hashes, small
+from lodestack.llm.common import BROADCAST_ROWS, SPACE_WORDS, Tokens, list_array, materialize, mix, shingle_hashes, slices, small
 from lodestack.llm.components import components
 
 SIGNATURE = 64
@@ -33,7 +33,6 @@ SMALL_LIST = 12
 GROUP = 32
 #: Members of a block, when what is left between components of a long list is compared.
 BLOCK = 512
-BROADCAST_ROWS = 500_000
 
 _made = np.random.default_rng(20240501).integers(0, 1 << 63, (2, SIGNATURE), np.int64).view(np.uint64)
 _TIMES, _PLUS = _made[0] | np.uint64(1), _made[1]
@@ -78,7 +77,7 @@ def signed(documents: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     """Per document: id, n (set size), two hashes of the set, signature (array of int)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             g, offsets = _sets(b.column("t"), shingle)
             n = np.diff(offsets)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(g + np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]

@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import materialize, small
+from lodestack.llm.common import BROADCAST_ROWS, materialize, small
 
 BREAK = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 1000
-BROADCAST_ROWS = 500_000
 _ID = "urn:lodestack:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
