@@ -28,8 +28,8 @@ from lodestack.llm.common import SPACE_WORDS, Tokens, materialize, word_hashes
 
 CUTOFF = 5
 #: Characters of text per bucket of contexts, as planned; a bucket's arrays are in one task's memory.
-BUCKET_CHARS = 12_000_000
-CHUNK_TEXTS, CHUNK_CHARS = 8192, 24_000_000
+BUCKET_CHARS = 5_000_000
+CHUNK_TEXTS, CHUNK_CHARS = 8192, 8_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x1123456789ABCDEF)
 _ROW = "kind string, key long, home long, blob binary, stats array<long>"
 
