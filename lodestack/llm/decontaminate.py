@@ -8,16 +8,14 @@ Items shorter than WINDOW words are one window of their own length, for which ev
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import ALNUM_WORDS, Tokens, content_key, list_array, materialize, shingle_hashes, slices, small
+from lodestack.llm.common import ALNUM_WORDS, BROADCAST_ROWS, Tokens, content_key, list_array, materialize, shingle_hashes, slices, small
 
 WINDOW = 10
 K = 5
@@ -68,6 +66,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     Other columns are not carried. A document with many hits is one group, which its own length bounds.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("item_text")).distinct()
+    items = items.withColumn("no", F.xxhash64(F.coalesce("item", F.lit("\0null")), "item_text"))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,9 +84,9 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
                 short = np.isin(hashes, (shingle_hashes(t.hashes(), s) + np.uint64(s)).view(np.int64))
                 own &= ~short | (n == s)
             own &= (n >= window) | np.isin(n, sizes) & (at == 0)
-            yield pa.record_batch([b.column("item").take(pa.array(owner[own])), b.column("item_text").take(pa.array(owner[own])), pa.array(hashes[own], pa.int64()), pa.array(at[own], pa.int32())], ["item", "item_text", "hash", "item_at"])
+            yield pa.record_batch([b.column("no").take(pa.array(owner[own])), pa.array(hashes[own], pa.int64()), pa.array(at[own], pa.int32())], ["no", "hash", "item_at"])
 
-    kept = materialize(items.mapInArrow(item_prints, "item string, item_text string, hash long, item_at int"), "item-prints")
+    kept = materialize(items.mapInArrow(item_prints, "no long, hash long, item_at int"), "item-prints")
     bounded = kept.count() <= BROADCAST_HASHES
     # at most BROADCAST_HASHES numbers; beyond, every document hash goes to the join
     wanted = np.unique(np.array([r["hash"] for r in kept.select("hash").distinct().collect()], np.int64)) if bounded else None
@@ -101,47 +100,52 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
             counts = np.bincount(owner, minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(counts)])
             prints = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(at, pa.int32())], names=["hash", "at"]))
-            text = pc.if_else(pa.array(counts > 0), b.column("t"), pa.scalar(None, b.schema.field("t").type))
-            yield pa.record_batch([b.column("doc"), b.column("text_hash"), text, pa.array(np.diff(t.offsets), pa.int64()), prints], ["doc", "text_hash", "t", "n_words", "prints"])
+            yield pa.record_batch([b.column("doc"), b.column("text_hash"), pa.array(np.diff(t.offsets), pa.int64()), prints], ["doc", "text_hash", "n_words", "prints"])
 
     doc_type = documents.schema[id_col].dataType.simpleString()
     key = content_key(id_col, text_col)
     texts = documents.select(key[0].alias("doc"), key[1], F.coalesce(text_col, F.lit("")).alias("t"))
-    printed = texts.mapInArrow(document_prints, f"doc {doc_type}, text_hash long, t string, n_words long, prints array<struct<hash:long,at:int>>")
-    hits = printed.select("doc", "text_hash", "n_words", "t", F.explode_outer("prints").alias("p")).select("doc", "text_hash", "n_words", "t", F.col("p.hash").alias("hash"), F.col("p.at").alias("at"))
-    hits = hits.join(small(kept, BROADCAST_HASHES) if bounded else kept, "hash", "left")
-    grouped = hits.groupBy("doc", "text_hash").agg(F.first("n_words").alias("n_words"), F.first("t").alias("t"), F.collect_set(F.when(F.col("item").isNotNull() | F.col("item_at").isNotNull(), F.struct("at", "item_at", "item", "item_text"))).alias("hits"))
+    printed = materialize(texts.mapInArrow(document_prints, f"doc {doc_type}, text_hash long, n_words long, prints array<struct<hash:long,at:int>>"), "prints")
+
+    # (document, item) pairs with the shifts at which a kept hash of both is the same; texts join only then
+    hits = printed.where(F.size("prints") > 0).select("doc", "text_hash", F.explode("prints").alias("p")).select("doc", "text_hash", F.col("p.hash").alias("hash"), F.col("p.at").alias("at"))
+    hits = hits.join(small(kept, BROADCAST_HASHES) if bounded else kept, "hash")
+    shifts = materialize(hits.groupBy("doc", "text_hash", "no").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")), "shifts")
+    names = shifts.select("doc", "text_hash").distinct()
+    own = texts.join(small(materialize(names, "names"), BROADCAST_ROWS).select(F.col("doc").alias("d"), F.col("text_hash").alias("h")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).groupBy("doc", "text_hash").agg(F.first("t").alias("t"))
+    found = shifts.join(items, "no").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("hits"))
+    both = own.join(found.select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), "hits"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             covered, names, offsets = [], [], [0]
-            for text, found in zip(b.column("t").to_pylist(), b.column("hits").to_pylist(), strict=True):
-                hit, who = _extend(text, found, window) if found else (0, [])
+            for text, hits in zip(b.column("t").to_pylist(), b.column("hits").to_pylist(), strict=True):
+                hit, who = _extend(text, hits, window)
                 covered.append(hit)
                 names += who
                 offsets.append(len(names))
-            yield pa.record_batch([b.column("doc"), b.column("text_hash"), b.column("n_words"), pa.array(covered, pa.int64()), list_array(np.array(names, object), np.array(offsets), pa.string())], [id_col, "text_hash", "n_words", "n_hit", "items"])
+            yield pa.record_batch([b.column("doc"), b.column("text_hash"), pa.array(covered, pa.int64()), list_array(np.array(names, object), np.array(offsets), pa.string())], ["d", "h", "n_hit", "items"])
 
-    return grouped.mapInArrow(extend, f"{id_col} {doc_type}, text_hash long, n_words long, n_hit long, items array<string>")
+    extended = both.select("doc", "text_hash", "t", "hits").mapInArrow(extend, f"d {doc_type}, h long, n_hit long, items array<string>")
+    every = printed.select("doc", "text_hash", "n_words").distinct()
+    out = every.join(extended, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return out.select(F.col("doc").alias(id_col), "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _extend(text: str, found: list[dict], window: int) -> tuple[int, list[str]]:
     """Words covered, and the items found, of one document: each hit's run of equal words, if it holds a whole window."""
     doc = _words(text)
-    by_item: dict = defaultdict(set)
+    covered, names = np.zeros(len(doc), bool), set()
     for f in found:
-        by_item[f["item"], f["item_text"]].add(f["at"] - f["item_at"])
-    covered, names, parsed = np.zeros(len(doc), bool), set(), {}
-    for (name, item_text), shifts in by_item.items():
-        item = parsed.setdefault(item_text, _words(item_text))
+        item = _words(f["item_text"])
         need = min(window, len(item))
-        for shift in shifts:
+        for shift in f["shifts"]:
             lo, hi = max(0, shift), min(len(doc), shift + len(item))
             run = lo
             for i in range(lo, hi + 1):
                 if i == hi or doc[i] != item[i - shift]:
                     if i - run >= need:
                         covered[run:i] = True
-                        names.add("null" if name is None else name)
+                        names.add("null" if f["item"] is None else f["item"])
                     run = i + 1
     return int(covered.sum()), sorted(names)
