@@ -28,7 +28,7 @@ from lodestack.llm.common import SPACE_WORDS, Tokens, materialize, word_hashes
 
 CUTOFF = 5
 #: Characters of text per bucket of contexts, as planned; a bucket's arrays are in one task's memory.
-BUCKET_CHARS = 5_000_000
+BUCKET_CHARS = 8_000_000
 CHUNK_TEXTS, CHUNK_CHARS = 8192, 8_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x1123456789ABCDEF)
 _ROW = "kind string, key long, home long, blob binary, stats array<long>"
@@ -98,49 +98,63 @@ def _group_sum(index: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(index, weight, minlength=n)
 
 
+#: Sums travel as whole multiples of this, which compress and add up exactly.
+UNIT = 2.0**-32
+
+
+def _by_document(batch: np.ndarray, d: np.ndarray, logs: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Per batch its documents (as steps), and their sums of non-negative logarithms and of numbers, packed."""
+    keys, at = np.unique(batch.astype(np.int64) << 32 | d, return_inverse=True)
+    sums = [np.rint(_group_sum(at, x, len(keys)) / UNIT).astype(np.int64) for x in logs] + [_group_sum(at, x, len(keys)).astype(np.int64) for x in numbers]
+    of, doc = keys >> 32, keys & 0xFFFFFFFF
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True) if len(of) else ():
+        yield int(of[a]), pack(np.diff(doc[a:b], prepend=0), *(x[a:b] for x in sums))
+
+
+def _add(total: np.ndarray, steps: np.ndarray, sums: np.ndarray, sign: int) -> None:
+    total[np.cumsum(steps.astype(np.int64))] += sign * sums.astype(np.float64)
+
+
 def _counted(bucket: int, rows: pd.DataFrame, buckets: int) -> Iterator[tuple]:
     """What a bucket makes of its pairs; see the module's text."""
     batches, parts = [], []
     for batch, blob in zip(rows["home"], rows["blob"], strict=True):
         mine, runs, theirs, which, d, count, held = unpack(blob)
-        parts.append((np.repeat(mine, runs), theirs[which], np.full(len(d), len(batches), np.int32), d.astype(np.int32), count.astype(np.int64), held.astype(bool)[d]))
+        parts.append((np.repeat(mine, runs), theirs[which], np.full(len(d), len(batches), np.int32), d.astype(np.int32), count.astype(np.int32), held.astype(bool)[d]))
         batches.append(batch)
     u, v, batch, d, count, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     us, u = np.unique(u, return_inverse=True)
     vs, v = np.unique(v, return_inverse=True)
-    key = u.astype(np.int64) << 32 | v
-    order = np.argsort(key, kind="stable")
-    u, v, batch, d, count, held, key = (x[order] for x in (u, v, batch, d, count, held, key))
+    key = u << 32 | v
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key, u, v, batch, d, count, held = (x[order] for x in (key, u.astype(np.int32), v.astype(np.int32), batch, d, count, held))
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    kind = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    kind = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+    del key, order
     c = np.add.reduceat(np.where(held, 0, count), first)
     tu, tv = u[first], v[first]
     cu = _group_sum(tu, c, len(us)).astype(np.int64)
     low = np.zeros(len(us), bool)
     low[tu[(c > 0) & (c <= CUTOFF)]] = True
     full = cu + (~low & (cu > 0))  # contexts without a discounted pair leave one count for unseen words
-    seen, word = c[kind] > 0, us[u] != BEGIN
-    log = np.log10(np.maximum(c[kind], 1)) - np.log10(np.maximum(full[u], 1))
-    for j in range(len(batches)):
-        own = batch == j
-        dj, nj, sj = d[own], count[own], seen[own]
-        n = int(dj.max()) + 1
-        sums = [_group_sum(dj, np.where(sj, nj * log[own], 0), n), _group_sum(dj, np.where(word[own], nj * np.log10(cu[u[own]] + 1), 0), n), _group_sum(dj, np.where(word[own] & (cu[u[own]] > 0), nj, 0), n).astype(np.int64)]
-        level = c[kind[own]]
-        sums += [_group_sum(dj, np.where(level == r, nj, 0), n).astype(np.int64) for r in range(1, CUTOFF + 1)]
-        yield "sums", -1 - batches[j], batches[j], pack(*sums), None
-    known = cu > 0
-    real = known & (us != BEGIN)
+    level, word = c[kind], us != BEGIN
+    less = np.where(level > 0, count * (np.log10(np.maximum(full, 1))[u] - np.log10(np.maximum(level, 1))), 0)
+    base = count * np.where(word, np.log10(cu + 1), 0)[u]
+    numbers = [count * (word & (cu > 0))[u], *(np.where(level == r, count, 0) for r in range(1, CUTOFF + 1))]
+    for j, blob in _by_document(batch, d, [less, base], numbers):
+        yield "sums", -1 - batches[j], batches[j], blob, None
+    real = (cu > 0) & word
     yield "words", bucket, bucket, pack(us[real], cu[real]), None
     t = c > 0
-    un = np.flatnonzero(~seen)
+    un = np.flatnonzero(level == 0)
     yield "state", bucket, bucket, pack(us, cu, full, np.bincount(tu[t], minlength=len(us)), tv[t], c[t], vs, u[un], v[un], batch[un], d[un], count[un], np.array(batches, np.int64)), None
     home = _bucket(vs, buckets)
     for b in np.unique(home):
         yield "ask", int(b), bucket, pack(vs[home == b]), None
     levels = lambda x: [int((x == r).sum()) for r in range(1, CUTOFF + 2)]
-    start = int(cu[us == BEGIN].sum())
-    yield "stats", bucket, bucket, None, [*levels(c), *levels(cu[real]), int(cu[real].sum()), int(real.sum()), start]
+    yield "stats", bucket, bucket, None, [*levels(c), *levels(cu[real]), int(cu[real].sum()), int(real.sum()), int(cu[~word].sum())]
 
 
 def _answered(rows: pd.DataFrame) -> Iterator[tuple]:
@@ -204,11 +218,9 @@ def _finished(rows: pd.DataFrame, m: _Model, buckets: int) -> Iterator[tuple]:
     rest = 1 - _group_sum(tu, p[tv], len(us))
     alpha = np.where(cu > 0, left / np.maximum(rest, 1e-300), 1.0)
     yield "weights", int(rows["key"].iloc[0]), int(rows["key"].iloc[0]), pack(us, alpha), None
-    value = count * (np.log10(np.maximum(alpha[u], 1e-300)) + np.log10(p[v]))
-    for j, name in enumerate(batches):
-        own = batch == j
-        if own.any():
-            yield "late", -1 - int(name), int(name), pack(_group_sum(d[own], value[own], int(d[own].max()) + 1)), None
+    less = -count.astype(np.float64) * (np.log10(np.maximum(alpha[u], 1e-300)) + np.log10(p[v]))
+    for j, blob in _by_document(batch, d, [less], []):
+        yield "late", -1 - int(batches[j]), int(batches[j]), blob, None
 
 
 def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
@@ -253,19 +265,20 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, held, n = pickle.loads(pdf[pdf["kind"] == "head"]["blob"].iloc[0])
-        base, total, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), int(m.docs > 0))
+        base, total, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), float(m.docs > 0))
         for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
             if kind == "sums":
-                s, b, k, *levels = unpack(blob)
-                s = s + sum(np.log10(m.pairs[r]) * x.astype(float) for r, x in enumerate(levels))
-                total[: len(s)] += s
-                base[: len(b)] += b
-                known[: len(k)] += k.astype(int)
+                steps, s, b, k, *levels = unpack(blob)
+                _add(total, steps, s * UNIT, -1)
+                _add(base, steps, b * UNIT, 1)
+                _add(known, steps, k, 1)
+                for r, x in enumerate(levels):
+                    _add(total, steps, np.log10(m.pairs[r]) * x, 1)
             elif kind == "late":
-                (s,) = unpack(blob)
-                total[: len(s)] += s
+                steps, s = unpack(blob)
+                _add(total, steps, s * UNIT, -1)
         base += math.log10(m.docs + 1) - n * math.log10(m.tokens + m.types + 1)
-        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": m.tokens, "base_score": base, "score": total})
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "held_out": held, "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": m.tokens, "base_score": base, "score": total})
 
     ends = counted.where("kind in ('head', 'sums')").unionByName(finished.where("kind = 'late'"))
     return ends.groupBy("key").applyInPandas(gather, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
