@@ -23,9 +23,11 @@ from lodestack.llm.common import list_array, raw_bytes
 
 SPACE = "▁"
 #: Bytes of distinct segments that one suffix array covers; the next ones get another.
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 1 << 17
 #: Bytes of text that are cut into segments at once.
 SLICE_BYTES = 1 << 22
+#: Texts that are encoded or decoded at once.
+ROWS = 4096
 _NONE = -1
 
 
@@ -335,7 +337,8 @@ def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder_of(shipped.value)
         for texts in batches:
-            yield encoder.encode(texts)
+            for i in range(0, len(texts), ROWS):
+                yield encoder.encode(texts.slice(i, ROWS))
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -352,14 +355,22 @@ def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
             pieces[i] = bytes([b])
         table = pa.array([*pieces, b""], pa.large_binary())
         for lists in batches:
-            flat = lists.flatten()
-            flat = pc.fill_null(flat, len(pieces))
-            flat = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), flat, len(pieces))
-            parts = table.take(flat)
-            ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
-            data = bytes(parts.buffers()[2]) if len(parts) and parts.buffers()[2] is not None else b""
-            at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(lists) else np.zeros(1, np.int64)
-            out = [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.array([t if ok else None for t, ok in zip(out, lists.is_valid().to_pylist(), strict=True)], pa.string())
+            for i in range(0, len(lists), ROWS):
+                yield _joined(lists.slice(i, ROWS), table)
 
     return texts(ids)
+
+
+def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    n = len(table) - 1
+    flat = pc.fill_null(lists.flatten(), n)
+    parts = table.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, n)), flat, n))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    data, edges = b"", np.zeros(1, np.int64)
+    if len(parts):
+        edges = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        data = memoryview(parts.buffers()[2]) if parts.buffers()[2] is not None else b""
+    edges = edges[at]
+    valid = lists.is_valid().to_pylist()
+    return pa.array([bytes(data[a:b]).decode("utf-8", "replace").removeprefix(" ") if ok else None for a, b, ok in zip(edges[:-1], edges[1:], valid, strict=True)], pa.string())
