@@ -103,3 +103,31 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.start, r.event_type): r.n for r in windows.tumbling(batch).collect()}
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(out).collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_html_grids(spark):
+    from lodestack.operators.tables import grid, html_cells, markdown_cells
+
+    source = "<table><tr><th rowspan=2>a&amp;b</th><th colspan='2'>c</th></tr><tr><td>1<br>2</td><td> </td></tr></table><table><tr><td>other</td></tr></table>"
+    assert [(r, c, sr, sc, s, t) for r, c, sr, sc, s, t in grid(source)] == [(0, 0, 0, 0, "recognized", "a&b"), (0, 1, 0, 1, "recognized", "c"), (0, 2, 0, 1, "spanned", "c"), (1, 0, 0, 0, "spanned", "a&b"), (1, 1, 1, 1, "recognized", "1\n2"), (1, 2, 1, 2, "blank", "")]
+    assert grid(None) == [] and grid("<p>x</p>") == []
+    assert [grid(s)[0][5] for s in ("<td>" + "x" * 200_001, "<tr><td colspan=101>", "<tr><td>" * 2001)] == ["too_long", "span", "too_many_cells"]
+    assert grid("<tr><td>a<td rowspan=2>b<tr><td colspan=2>c")[0][4:] == ("rejected", "overlap")
+    df = spark.createDataFrame([(1, source), (2, None)], "page_id long, html string")
+    assert html_cells(df, "page_id", "html").groupBy("page_id").count().collect() == [(1, 6)]
+    lines = spark.createDataFrame([("| a \\| b | c |",), ("|---|:-:|",), ("x",), ("a|b",)], "l string")
+    assert [r[0] for r in lines.select(markdown_cells(F.col("l"))).collect()] == [["a | b", "c"], None, None, ["a", "b"]]
+
+
+def test_boxes_and_numbers(spark):
+    from lodestack.functions import numbers as N
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    box = lambda *v: N.normalised_box(*map(F.lit, v), F.lit(200.0), F.lit(100.0))
+    assert tuple(one(box(20.0, 10.0, 100.0, 50.0))) == (0.1, 0.1, 0.5, 0.5)
+    assert tuple(one(box(0.1, 0.1, 0.5, 0.5))) == (0.1, 0.1, 0.5, 0.5)
+    assert one(box(50.0, 10.0, 20.0, 50.0)) is None and one(box(20.0, 10.0, 300.0, 50.0)) is None
+    assert one(N.overlap_share(box(0.0, 0.0, 1.0, 1.0), box(0.5, 0.5, 1.0, 1.0))) == 0.25
+    assert [one(N.parse_number(F.lit(t))) for t in ("≤ 3,5", "-2", "x", ">1.5")] == [3.5, -2.0, None, 1.5]
+    assert [one(N.retry_delay(F.lit(n))) for n in (1, 3, 7, 9)] == [1, 4, 60, 60]
+    assert (one(N.token_estimate(F.lit(""))), one(N.token_estimate(F.lit("a" * 9)))) == (1, 2)
