@@ -136,4 +136,14 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id is distinct from origin then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and page_id is distinct from origin then origin end as refers_to
 from g""",
+    "op8_minhash_near_dedup": r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by all),
+l as (select x, y from p where 100 * c >= 80 * (nx + ny - c)),
+links as (select x, y from l union all select y, x from l),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, links.y from r join links on r.y = links.x)
+select doc_id, cast(len(s) as bigint) as n_shingles, c.component_id, doc_id = c.component_id as kept
+from s join (select x, min(y) as component_id from r group by x) c on s.doc_id = c.x""",
 }
