@@ -6,7 +6,8 @@ the mass that is left. Discounts d are Good-Turing's for counts up to CUTOFF, al
 All counts are exact and over all documents. A token would be too small a row to shuffle, so a batch of documents ships one
 packed row per bucket of context words: its distinct (context, word, document) with their numbers, sorted, as compressed
 arrays. A bucket holds every pair of its contexts, so it counts them, scores all seen pairs and keeps the unseen ones; the
-unigram counts of its words, which the back-off needs, it asks of the buckets that own those words. The tables (counts,
+unigram counts of its words, which the back-off needs, it asks of the buckets that own those words. A context word that
+would overfill a bucket is spread over all of them by its second word, and its count and weight enter at the end. The tables (counts,
 pairs, weights) are written to the shared folder, partitioned by bucket. Sums come back per batch of documents.
 """
 
@@ -31,7 +32,13 @@ CUTOFF = 5
 BUCKET_CHARS = 8_000_000
 CHUNK_TEXTS, CHUNK_CHARS = 8192, 8_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x1123456789ABCDEF)
-_ROW = "kind string, key long, home long, blob binary, stats array<long>"
+#: A context word with this many times a bucket's fair share of tokens is spread over all buckets.
+HOT_SHARES = 4
+#: Documents that hot words are looked for in, at most (as expected). They decide where rows go, not what comes out.
+HOT_SAMPLE = 2000
+_ROW = "kind string, key long, home long, blob binary, stats array<long>, x double, y double"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64(), pa.float64()]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -62,7 +69,15 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(ids: pa.Array, held: np.ndarray, texts: pa.Array, batch: int, buckets: int) -> Iterator[tuple]:
+def _among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The index of each hash in the sorted ``hot``, or -1."""
+    if not len(hot):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[at] == h, at, -1)
+
+
+def _packed(ids: pa.Array, held: np.ndarray, texts: pa.Array, batch: int, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
     """Rows of one batch: 'head' with its documents, and 'pairs' for each bucket."""
     t = Tokens(texts, SPACE_WORDS)
     n = len(t.offsets) - 1
@@ -78,6 +93,7 @@ def _packed(ids: pa.Array, held: np.ndarray, texts: pa.Array, batch: int, bucket
     place = np.empty(len(h), np.int64)
     order = np.lexsort((h, _bucket(h, buckets)))
     place[order] = np.arange(len(h))
+    spread = _among(h, hot)[order] >= 0
     by_hash = np.argsort(h)
     rank = np.empty(len(h), np.int64)
     rank[by_hash] = np.arange(len(h))
@@ -87,6 +103,10 @@ def _packed(ids: pa.Array, held: np.ndarray, texts: pa.Array, batch: int, bucket
     v, u = keys & ((1 << bits_v) - 1), keys >> bits_v
     sorted_h, ordered = h[by_hash], h[order]
     of = _bucket(ordered, buckets)[u]
+    if spread.any():  # pairs of a hot context go where their second word belongs
+        of = np.where(spread[u], _bucket(sorted_h, buckets)[v], of)
+        by = np.argsort(of, kind="stable")
+        of, u, v, d, count = of[by], u[by], v[by], d[by], count[by]
     cuts = np.flatnonzero(np.diff(of)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True) if len(of) else ():
         mine, runs = np.unique(u[a:b], return_counts=True)
@@ -112,11 +132,23 @@ def _by_document(batch: np.ndarray, d: np.ndarray, logs: list[np.ndarray], numbe
         yield int(of[a]), pack(np.diff(doc[a:b], prepend=0), *(x[a:b] for x in sums))
 
 
+def _hot_tokens(h: np.ndarray, batch: np.ndarray, d: np.ndarray, count: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Per batch the (document, hot context) pairs with their numbers of tokens and of seen ones."""
+    at = np.flatnonzero(h >= 0)
+    if len(at):
+        order = at[np.lexsort((h[at], d[at], batch[at]))]
+        of = batch[order]
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+            x = order[a:b]
+            yield int(of[a]), pack(np.diff(d[x], prepend=0), h[x], count[x], np.where(seen[x], count[x], 0))
+
+
 def _add(total: np.ndarray, steps: np.ndarray, sums: np.ndarray, sign: int) -> None:
     total[np.cumsum(steps.astype(np.int64))] += sign * sums.astype(np.float64)
 
 
-def _counted(bucket: int, rows: pd.DataFrame, buckets: int) -> Iterator[tuple]:
+def _counted(bucket: int, rows: pd.DataFrame, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
     """What a bucket makes of its pairs; see the module's text."""
     batches, parts = [], []
     for batch, blob in zip(rows["home"], rows["blob"], strict=True):
@@ -140,12 +172,19 @@ def _counted(bucket: int, rows: pd.DataFrame, buckets: int) -> Iterator[tuple]:
     low[tu[(c > 0) & (c <= CUTOFF)]] = True
     full = cu + (~low & (cu > 0))  # contexts without a discounted pair leave one count for unseen words
     level, word = c[kind], us != BEGIN
-    less = np.where(level > 0, count * (np.log10(np.maximum(full, 1))[u] - np.log10(np.maximum(level, 1))), 0)
-    base = count * np.where(word, np.log10(cu + 1), 0)[u]
-    numbers = [count * (word & (cu > 0))[u], *(np.where(level == r, count, 0) for r in range(1, CUTOFF + 1))]
-    for j, blob in _by_document(batch, d, [less, base], numbers):
+    is_hot = _among(us, hot)
+    own = is_hot < 0  # what a hot context's count decides is left to the end
+    less = np.where((level > 0) & own[u], count * (np.log10(np.maximum(full, 1))[u] - np.log10(np.maximum(level, 1))), 0)
+    more = np.where((level > 0) & ~own[u], count * np.log10(np.maximum(level, 1)), 0)
+    base = count * np.where(word & own, np.log10(cu + 1), 0)[u]
+    numbers = [count * (word & own & (cu > 0))[u], *(np.where(level == r, count, 0) for r in range(1, CUTOFF + 1))]
+    for j, blob in _by_document(batch, d, [less, base, more], numbers):
         yield "sums", -1 - batches[j], batches[j], blob, None
-    real = (cu > 0) & word
+    for j, blob in _hot_tokens(is_hot[u], batch, d, count, level > 0):
+        yield "hot", -1 - batches[j], batches[j], blob, None
+    for i in np.flatnonzero(~own):
+        yield "share", int(is_hot[i]), bucket, None, [int(cu[i]), int(low[i])]
+    real = (cu > 0) & word & own
     yield "words", bucket, bucket, pack(us[real], cu[real]), None
     t = c > 0
     un = np.flatnonzero(level == 0)
@@ -154,7 +193,7 @@ def _counted(bucket: int, rows: pd.DataFrame, buckets: int) -> Iterator[tuple]:
     for b in np.unique(home):
         yield "ask", int(b), bucket, pack(vs[home == b]), None
     levels = lambda x: [int((x == r).sum()) for r in range(1, CUTOFF + 2)]
-    yield "stats", bucket, bucket, None, [*levels(c), *levels(cu[real]), int(cu[real].sum()), int(real.sum()), int(cu[~word].sum())]
+    yield "stats", bucket, bucket, None, [*levels(c), *levels(cu[real]), int(cu[real].sum()), int(real.sum()), int(cu[~word & own].sum())]
 
 
 def _answered(rows: pd.DataFrame) -> Iterator[tuple]:
@@ -182,10 +221,22 @@ def discounts(levels: list[int]) -> np.ndarray:
 
 
 class _Model:
-    """The few global numbers, and what follows from them."""
+    """The few global numbers, what follows from them, and the counts of hot contexts."""
 
-    def __init__(self, stats: list[int]):
+    def __init__(self, stats: list[int], hot: np.ndarray, shares: dict[int, tuple[int, int]]):
         k = CUTOFF + 1
+        self.hot, self.hot_counts = hot, np.array([shares.get(i, (0, 0))[0] for i in range(len(hot))], np.int64)
+        low = np.array([shares.get(i, (0, 0))[1] > 0 for i in range(len(hot))], bool)
+        self.hot_full = self.hot_counts + (~low & (self.hot_counts > 0))
+        for h, n in zip(hot, self.hot_counts, strict=True):
+            if h == BEGIN:
+                stats[2 * k + 2] += int(n)
+            elif n:
+                stats[2 * k] += int(n)
+                stats[2 * k + 1] += 1
+                if n <= k:
+                    stats[k + int(n) - 1] += 1
+        self.hot_alpha = np.ones(len(hot))
         self.pairs, self.words = discounts(stats[:k]), discounts(stats[k : 2 * k])
         self.docs = stats[2 * k + 2]
         self.tokens, self.types = stats[2 * k] + self.docs, stats[2 * k + 1] + (self.docs > 0)
@@ -210,13 +261,17 @@ def _finished(rows: pd.DataFrame, m: _Model, buckets: int) -> Iterator[tuple]:
     for r in rows[rows["kind"] == "told"].itertuples():
         counts[home == r.home] = unpack(r.blob)[0]
     counts[vs == END] = m.docs
+    hot_v, hot_u = _among(vs, m.hot), _among(us, m.hot)
+    if len(m.hot):
+        counts = np.where(hot_v >= 0, m.hot_counts[hot_v], counts)
     p = m.unigram(counts)
     tu = np.repeat(np.arange(len(us)), runs.astype(np.int64))
     c, full = c.astype(np.int64), np.maximum(full.astype(np.int64), 1)
     kept = np.where(c <= CUTOFF, m.pairs[np.clip(c, 1, CUTOFF) - 1], 1) * c
-    left = 1 - _group_sum(tu, kept, len(us)) / full
-    rest = 1 - _group_sum(tu, p[tv], len(us))
-    alpha = np.where(cu > 0, left / np.maximum(rest, 1e-300), 1.0)
+    kept, taken = _group_sum(tu, kept, len(us)), _group_sum(tu, p[tv], len(us))
+    for i in np.flatnonzero(hot_u >= 0):
+        yield "part", int(hot_u[i]), int(rows["key"].iloc[0]), None, None, float(kept[i]), float(taken[i])
+    alpha = np.where((cu > 0) & (hot_u < 0), (1 - kept / full) / np.maximum(1 - taken, 1e-300), 1.0)  # a hot one's is known at the end
     yield "weights", int(rows["key"].iloc[0]), int(rows["key"].iloc[0]), pack(us, alpha), None
     less = -count.astype(np.float64) * (np.log10(np.maximum(alpha[u], 1e-300)) + np.log10(p[v]))
     for j, blob in _by_document(batch, d, [less], []):
@@ -224,7 +279,18 @@ def _finished(rows: pd.DataFrame, m: _Model, buckets: int) -> Iterator[tuple]:
 
 
 def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["kind", "key", "home", "blob", "stats"])
+    return pd.DataFrame([(*r, *[None] * (len(_NAMES) - len(r))) for r in rows], columns=_NAMES)
+
+
+def _hot_words(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Hashes of the context words that would overfill a bucket, ascending; at most buckets / HOT_SHARES of them."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(1_000_000 if n <= HOT_SAMPLE else int(1e6 * HOT_SAMPLE / n)))
+    words = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.split(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    counts = some.select(F.explode(words).alias("w")).groupBy("w").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    found = [r["w"] for r in counts.where(F.col("count") * buckets > HOT_SHARES * total).collect()]
+    return np.sort(np.array([BEGIN if w is None else word_hashes([w.encode()])[0] for w in found], np.uint64))
 
 
 def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,6 +305,7 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     id_type = rows.schema["id"].dataType.simpleString()
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
+    hot = _hot_words(rows, buckets)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 24
@@ -249,36 +316,50 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if i < j:
                     c = b.slice(i, j - i)
-                    for row in _packed(c.column("id"), c.column("held").to_numpy(zero_copy_only=False).astype(bool), c.column("t"), made, buckets):
-                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["kind", "key", "home", "blob", "stats"])
+                    for row in _packed(c.column("id"), c.column("held").to_numpy(zero_copy_only=False).astype(bool), c.column("t"), made, buckets, hot):
+                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*row, None, None), _TYPES, strict=True)], _NAMES)
                     made += 1
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf if pdf["key"].iloc[0] < 0 else _frame(_counted(int(pdf["key"].iloc[0]), pdf, buckets))
+        return pdf if pdf["key"].iloc[0] < 0 else _frame(_counted(int(pdf["key"].iloc[0]), pdf, buckets, hot))
 
     counted = materialize(rows.mapInArrow(ship, _ROW).groupBy("key").applyInPandas(count, _ROW), "lm-counts")
     stats = {r["pos"]: r["n"] for r in counted.where("kind = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
-    m = _Model([stats.get(i, 0) for i in range(2 * CUTOFF + 5)])
+    shares = counted.where("kind = 'share'").groupBy("key").agg(F.sum(F.get("stats", F.lit(0))).alias("n"), F.sum(F.get("stats", F.lit(1))).alias("low")).collect()
+    m = _Model([stats.get(i, 0) for i in range(2 * CUTOFF + 5)], hot, {r["key"]: (r["n"], r["low"]) for r in shares})
     told = counted.where("kind in ('words', 'ask')").groupBy("key").applyInPandas(lambda pdf: _frame(_answered(pdf)), _ROW)
     both = told.unionByName(counted.where("kind = 'state'"))
     finished = materialize(both.groupBy("key").applyInPandas(lambda pdf: _frame(_finished(pdf, m, buckets)), _ROW), "lm-weights")
 
+    for r in finished.where("kind = 'part'").groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect():  # a row per hot word
+        if m.hot_counts[r["key"]]:
+            m.hot_alpha[r["key"]] = (1 - r["x"] / m.hot_full[r["key"]]) / (1 - r["y"])
+
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, held, n = pickle.loads(pdf[pdf["kind"] == "head"]["blob"].iloc[0])
         base, total, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), float(m.docs > 0))
         for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
             if kind == "sums":
-                steps, s, b, k, *levels = unpack(blob)
+                steps, s, b, more, k, *levels = unpack(blob)
                 _add(total, steps, s * UNIT, -1)
+                _add(total, steps, more * UNIT, 1)
                 _add(base, steps, b * UNIT, 1)
                 _add(known, steps, k, 1)
                 for r, x in enumerate(levels):
                     _add(total, steps, np.log10(m.pairs[r]) * x, 1)
+            elif kind == "hot":
+                steps, h, n_all, n_seen = unpack(blob)
+                at, h = np.cumsum(steps.astype(np.int64)), h.astype(np.int64)
+                n_all, n_seen = n_all.astype(np.int64), n_seen.astype(np.int64)
+                word = m.hot[h] != BEGIN
+                np.add.at(base, at, np.where(word, n_all * np.log10(m.hot_counts[h] + 1), 0))
+                np.add.at(known, at, np.where(word & (m.hot_counts[h] > 0), n_all, 0))
+                np.add.at(total, at, (n_all - n_seen) * np.log10(m.hot_alpha[h]) - n_seen * np.log10(np.maximum(m.hot_full[h], 1)))
             elif kind == "late":
                 steps, s = unpack(blob)
                 _add(total, steps, s * UNIT, -1)
         base += math.log10(m.docs + 1) - n * math.log10(m.tokens + m.types + 1)
         return pd.DataFrame({"id": pd.Series(ids, dtype=object), "held_out": held, "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": m.tokens, "base_score": base, "score": total})
 
-    ends = counted.where("kind in ('head', 'sums')").unionByName(finished.where("kind = 'late'"))
+    ends = counted.where("kind in ('head', 'sums', 'hot')").unionByName(finished.where("kind = 'late'"))
     return ends.groupBy("key").applyInPandas(gather, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)

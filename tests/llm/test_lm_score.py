@@ -82,6 +82,16 @@ def test_edges_in_many_buckets(spark, monkeypatch):
     compare(lm_score.score(docs, F.col("doc_id") % 4 == 2).collect(), texts, {i: i % 4 == 2 for i in texts})
 
 
+@pytest.mark.parametrize("shares", [0.2, 1e9])
+def test_hot_contexts_are_spread(spark, monkeypatch, shares):
+    monkeypatch.setattr(lm_score, "BUCKET_CHARS", 400)
+    monkeypatch.setattr(lm_score, "HOT_SHARES", shares)
+    made = random.Random(9)
+    texts = {i: " ".join(made.choice(["the", "The", f"w{made.randrange(60)}"]) for _ in range(made.randint(0, 50))) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    compare(lm_score.score(docs, F.col("doc_id") % 4 == 2).collect(), texts, {i: i % 4 == 2 for i in texts})
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in lm_score.score(docs, F.lit(True)).collect()}
