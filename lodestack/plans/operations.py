@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import numbers as N
+from lodestack.operators import versions
 from lodestack.registry import query, table
 
 
@@ -137,3 +138,52 @@ def command_import(spark: SparkSession, sf: str) -> DataFrame:
     risk = F.when(F.col("verb") == "delete", "high").when(F.col("verb").isin("post", "put"), "medium").otherwise("low")
     missing = F.array_except(F.array(F.lit("k")), F.coalesce(F.expr("json_object_keys(props)"), F.array().cast("array<string>")))
     return e.select("event_id", F.upper("verb").alias("method"), "path", risk.alias("risk"), F.array_join(missing, ",").alias("missing"))
+
+
+@query("""
+with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders where o_orderstatus = 'F'),
+a as (select o_custkey, max(o_orderdate) as newest from orders group by 1)
+select r.o_custkey, r.o_orderkey, o.o_orderdate < a.newest as stale from r join orders o on r.o_orderkey = o.o_orderkey join a on r.o_custkey = a.o_custkey where rn = 1""")
+def latest_version(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest completed version of each key, and whether something newer exists."""
+    o = table(spark, sf, "orders")
+    done = versions.latest_completed(o, "o_custkey", "o_orderkey", F.col("o_orderdate"), F.col("o_orderstatus") == "F")
+    newest = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"))
+    return done.join(newest, "o_custkey").select("o_custkey", "o_orderkey", (F.col("at") < F.col("newest")).alias("stale"))
+
+
+@query("""
+select l_orderkey, l_linenumber, cast(count(*) as bigint) as records from lineitem group by 1, 2 having count(distinct cast(l_partkey as varchar) || '/' || cast(l_suppkey as varchar)) > 1""")
+def publication_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.conflicts(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+
+
+@query("""
+with p as (select c_custkey, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 0), e as (select c_custkey as e, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 1),
+a as (select e, min(c_custkey) as c_custkey from (select c_custkey, min(e) as e from p join e using (c_nationkey, c_mktsegment) group by 1) group by 1),
+b as (select e, min(c_custkey) as c_custkey from (select c_custkey, min(e.e) as e from p join e using (c_nationkey) where c_custkey not in (select c_custkey from a) and e.e not in (select e from a) group by 1) group by 1)
+select c_custkey, e as entry, 1 as tier from a union all select c_custkey, e, 2 from b""")
+def recovery_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads to ledger entries by precedence, each entry once."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    entries = c.where("c_custkey % 2 = 1").withColumnRenamed("c_custkey", "entry")
+    return versions.matched(c.where("c_custkey % 2 = 0"), entries, "c_custkey", "entry", [(["c_nationkey", "c_mktsegment"], None), (["c_nationkey"], None)])
+
+
+@query("""
+with t as (select p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 2)) as a, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda w: length(w) >= 2)) as b from part)
+select p_partkey, cast(len(list_intersect(a, b)) as bigint) as shared, len(list_intersect(a, b)) >= 1 as fragment from t""")
+def table_token_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of a line that a table has too."""
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 2))
+    shared = F.size(F.array_intersect(tokens("p_name"), tokens("p_type")))
+    return table(spark, sf, "part").select("p_partkey", shared.cast("long").alias("shared"), (shared >= 1).alias("fragment"))
+
+
+@query("""
+select user_id, event_id, attempt, attempt > 3 as exhausted from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as attempt from events where event_type = 'signup')""")
+def start_or_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Each start of the same work is one attempt more than the one before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").where("event_type = 'signup'").withColumn("attempt", F.row_number().over(w).cast("long"))
+    return e.select("user_id", "event_id", "attempt", (F.col("attempt") > 3).alias("exhausted"))

@@ -131,3 +131,15 @@ def test_boxes_and_numbers(spark):
     assert [one(N.parse_number(F.lit(t))) for t in ("≤ 3,5", "-2", "x", ">1.5")] == [3.5, -2.0, None, 1.5]
     assert [one(N.retry_delay(F.lit(n))) for n in (1, 3, 7, 9)] == [1, 4, 60, 60]
     assert (one(N.token_estimate(F.lit(""))), one(N.token_estimate(F.lit("a" * 9)))) == (1, 2)
+
+
+def test_headers_and_schemas(spark):
+    from lodestack.operators import versions as V
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    row = lambda *v: F.array(*map(F.lit, v))
+    assert one(V.merged_header(row("Size", " ", "Note", ""), row("min", "max", "Note", ""))) == ["Size min", "Size max", "Note", "Note"]
+    assert one(V.filled(row("", "a", "", "b"))) == ["a", "a", "a", "b"]
+    fields = one(V.schema_fields(F.lit('{"properties": {"n": {"type": "integer"}, "t": {"title": "T"}}, "required": ["n"]}')))
+    assert [tuple(f) for f in fields] == [("n", "integer", "n", True), ("t", "string", "T", False)]
+    assert one(V.schema_fields(F.lit("{}"))) is None
