@@ -33,15 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
 
-    The files go when the driver's interpreter ends.
-    """
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

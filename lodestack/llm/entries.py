@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, near_dedup, secret_scan, sentencepiece_codec, url_filter, warc
-from lodestack.llm.common import shared_dir
+from lodestack.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +42,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/lodestack/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return warc.pages_of(warc.read(spark, path))
 
