@@ -6,13 +6,11 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_codec
-from lodestack.llm.common import BROADCAST_ROWS, content_key, materialize, shared_dir, small
+from lodestack.llm.common import BROADCAST_ROWS, content_key, materialize, shared_path, small
 from lodestack.llm.entries import PIECE_MODEL
 
 
@@ -73,7 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/lodestack/stage-{k}-{uuid.uuid4().hex}"
+        path = shared_path(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
