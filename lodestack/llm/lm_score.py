@@ -30,7 +30,7 @@ from lodestack.llm.common import SPACE_WORDS, Tokens, materialize, word_hashes
 CUTOFF = 5
 #: Characters of text per bucket of contexts, as planned; a bucket's arrays are in one task's memory.
 BUCKET_CHARS = 8_000_000
-CHUNK_TEXTS, CHUNK_CHARS = 8192, 8_000_000
+CHUNK_TEXTS, CHUNK_CHARS = 8192, 4_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x1123456789ABCDEF)
 #: A context word with this many times a bucket's fair share of tokens is spread over all buckets.
 HOT_SHARES = 4

@@ -23,9 +23,9 @@ from lodestack.llm.common import list_array, raw_bytes
 
 SPACE = "▁"
 #: Bytes of distinct segments that one suffix array covers; the next ones get another.
-INDEX_BYTES = 1 << 17
+INDEX_BYTES = 1 << 16
 #: Bytes of text that are cut into segments at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Texts that are encoded or decoded at once.
 ROWS = 4096
 _NONE = -1
@@ -339,6 +339,7 @@ def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
         for texts in batches:
             for i in range(0, len(texts), ROWS):
                 yield encoder.encode(texts.slice(i, ROWS))
+            pa.default_memory_pool().release_unused()
 
     return ids(F.coalesce(text, F.lit("")))
 
