@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import ALNUM_WORDS, BROADCAST_ROWS, Tokens, content_key, list_array, materialize, shingle_hashes, slices, small
+from lodestack.llm.common import ALNUM_WORDS, BROADCAST_ROWS, Tokens, bound_batches, content_key, list_array, materialize, shingle_hashes, slices, small
 
 WINDOW = 10
 K = 5
@@ -65,6 +65,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     ``content_key``); repeated items with other ids are all reported. No documents give no rows, no items give no hits.
     Other columns are not carried. A document with many hits is one group, which its own length bounds.
     """
+    bound_batches(documents.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("item_text")).distinct()
     items = items.withColumn("no", F.xxhash64(F.coalesce("item", F.lit("\0null")), "item_text"))
 

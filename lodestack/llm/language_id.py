@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import byte_table, raw_bytes
+from lodestack.llm.common import bound_batches, byte_table, raw_bytes, release
 
 DIM = 4096
 CENTROIDS = 4
@@ -96,6 +96,7 @@ class LanguageModel:
                 lang = [langs[i] for i in at] if langs else [UNDETERMINED] * len(texts)
                 low = score < floors[at] if langs else np.ones(len(texts), bool)
                 yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], names=["lang", "score", "rejected"])
+                release()
 
         said = nearest(F.coalesce(text, F.lit("")))
         letters = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
@@ -109,6 +110,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     The sample per language is bounded and taken by a hash of the text, so that repeated rows count alike and the size of a
     language does not matter. Each language's vectors are clustered in a task of their own.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:

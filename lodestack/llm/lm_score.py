@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import SPACE_WORDS, Tokens, materialize, word_hashes
+from lodestack.llm.common import SPACE_WORDS, Tokens, bound_batches, materialize, release, word_hashes
 
 CUTOFF = 5
 #: Characters of text per bucket of contexts, as planned; a bucket's arrays are in one task's memory.
@@ -301,6 +301,7 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     nothing is known: then the base is log10(1 / (0 + 1)) and the model gives all mass to the unknown word. Other columns
     are not carried. No documents give no rows.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(text_col, F.lit("")).alias("t"))
     id_type = rows.schema["id"].dataType.simpleString()
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -319,6 +320,7 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
                     for row in _packed(c.column("id"), c.column("held").to_numpy(zero_copy_only=False).astype(bool), c.column("t"), made, buckets, hot):
                         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*row, None, None), _TYPES, strict=True)], _NAMES)
                     made += 1
+            release()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf if pdf["key"].iloc[0] < 0 else _frame(_counted(int(pdf["key"].iloc[0]), pdf, buckets, hot))

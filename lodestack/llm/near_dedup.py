@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import BROADCAST_ROWS, SPACE_WORDS, Tokens, list_array, materialize, mix, shingle_hashes, slices, small
+from lodestack.llm.common import BROADCAST_ROWS, SPACE_WORDS, Tokens, bound_batches, list_array, materialize, mix, shingle_hashes, slices, small
 from lodestack.llm.components import components
 
 SIGNATURE = 64
@@ -183,6 +183,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
     their row, and are all kept if their id is the smallest. Rows that share an id but not the text are compared by their
     own sets, and by both in a verification. Other columns are not carried. No documents give no rows.
     """
+    bound_batches(documents.sparkSession)
     table = materialize(signed(documents, shingle, id_col, text_col), "signed")
     named = table.where("id is not null and n > 0")
     classes = materialize(named.groupBy("n", "set1", "set2").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import list_array, raw_bytes
+from lodestack.llm.common import bound_batches, list_array, raw_bytes, release
 
 SPACE = "▁"
 #: Bytes of distinct segments that one suffix array covers; the next ones get another.
@@ -331,6 +331,7 @@ def _encoder_of(v: Vocabulary) -> Encoder:
 
 def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
     """array<int> of ids, those of the library's encoder. Null and empty texts give an empty array."""
+    bound_batches(spark)
     shipped = spark.sparkContext.broadcast(v)
 
     @F.arrow_udf("array<int>")
@@ -339,7 +340,7 @@ def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
         for texts in batches:
             for i in range(0, len(texts), ROWS):
                 yield encoder.encode(texts.slice(i, ROWS))
-            pa.default_memory_pool().release_unused()
+            release()
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -347,6 +348,7 @@ def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
 def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
     """The text of an id array, without the dummy space. Null gives null, an empty array an empty text; ids out of range,
     null or of control pieces add nothing. Bytes that are no UTF-8 become U+FFFD."""
+    bound_batches(spark)
     shipped = spark.sparkContext.broadcast(v)
 
     @F.arrow_udf("string")
@@ -358,6 +360,7 @@ def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
         for lists in batches:
             for i in range(0, len(lists), ROWS):
                 yield _joined(lists.slice(i, ROWS), table)
+            release()
 
     return texts(ids)
 
