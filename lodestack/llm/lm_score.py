@@ -156,7 +156,7 @@ def _counted(bucket: int, rows: pd.DataFrame, buckets: int, hot: np.ndarray) ->
         parts.append((np.repeat(mine, runs), theirs[which], np.full(len(d), len(batches), np.int32), d.astype(np.int32), count.astype(np.int32), held.astype(bool)[d]))
         batches.append(batch)
     u, v, batch, d, count, held = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    del parts, mine, runs, theirs, which
     us, u = np.unique(u, return_inverse=True)
     vs, v = np.unique(v, return_inverse=True)
     key = u << 32 | v
@@ -180,6 +180,7 @@ def _counted(bucket: int, rows: pd.DataFrame, buckets: int, hot: np.ndarray) ->
     numbers = [count * (word & own & (cu > 0))[u], *(np.where(level == r, count, 0) for r in range(1, CUTOFF + 1))]
     for j, blob in _by_document(batch, d, [less, base, more], numbers):
         yield "sums", -1 - batches[j], batches[j], blob, None
+    del less, base, more, numbers
     for j, blob in _hot_tokens(is_hot[u], batch, d, count, level > 0):
         yield "hot", -1 - batches[j], batches[j], blob, None
     for i in np.flatnonzero(~own):
@@ -279,7 +280,9 @@ def _finished(rows: pd.DataFrame, m: _Model, buckets: int) -> Iterator[tuple]:
 
 
 def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(*r, *[None] * (len(_NAMES) - len(r))) for r in rows], columns=_NAMES)
+    made = [(*r, *[None] * (len(_NAMES) - len(r))) for r in rows]
+    release()
+    return pd.DataFrame(made, columns=_NAMES)
 
 
 def _hot_words(rows: DataFrame, buckets: int) -> np.ndarray:
