@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from lodestack.llm.common import SPACE_WORDS, Tokens, bound_batches, materialize
 
 CUTOFF = 5
 #: Characters of text per bucket of contexts, as planned; a bucket's arrays are in one task's memory.
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 6_000_000
 CHUNK_TEXTS, CHUNK_CHARS = 8192, 4_000_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0x1123456789ABCDEF)
 #: A context word with this many times a bucket's fair share of tokens is spread over all buckets.
@@ -122,8 +122,11 @@ def _group_sum(index: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 UNIT = 2.0**-32
 
 
-def _by_document(batch: np.ndarray, d: np.ndarray, logs: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Per batch its documents (as steps), and their sums of non-negative logarithms and of numbers, packed."""
+def _by_document(batch: np.ndarray, d: np.ndarray, logs: Iterable[np.ndarray], numbers: Iterable[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Per batch its documents (as steps), and their sums of non-negative logarithms and of numbers, packed.
+
+    The arrays to be summed are taken one at a time, so that a generator's are never all in memory.
+    """
     keys, at = np.unique(batch.astype(np.int64) << 32 | d, return_inverse=True)
     sums = [np.rint(_group_sum(at, x, len(keys)) / UNIT).astype(np.int64) for x in logs] + [_group_sum(at, x, len(keys)).astype(np.int64) for x in numbers]
     of, doc = keys >> 32, keys & 0xFFFFFFFF
@@ -174,13 +177,19 @@ def _counted(bucket: int, rows: pd.DataFrame, buckets: int, hot: np.ndarray) ->
     level, word = c[kind], us != BEGIN
     is_hot = _among(us, hot)
     own = is_hot < 0  # what a hot context's count decides is left to the end
-    less = np.where((level > 0) & own[u], count * (np.log10(np.maximum(full, 1))[u] - np.log10(np.maximum(level, 1))), 0)
-    more = np.where((level > 0) & ~own[u], count * np.log10(np.maximum(level, 1)), 0)
-    base = count * np.where(word & own, np.log10(cu + 1), 0)[u]
-    numbers = [count * (word & own & (cu > 0))[u], *(np.where(level == r, count, 0) for r in range(1, CUTOFF + 1))]
-    for j, blob in _by_document(batch, d, [less, base, more], numbers):
+
+    def logs() -> Iterator[np.ndarray]:
+        yield np.where((level > 0) & own[u], count * (np.log10(np.maximum(full, 1))[u] - np.log10(np.maximum(level, 1))), 0)
+        yield count * np.where(word & own, np.log10(cu + 1), 0)[u]
+        yield np.where((level > 0) & ~own[u], count * np.log10(np.maximum(level, 1)), 0)
+
+    def numbers() -> Iterator[np.ndarray]:
+        yield count * (word & own & (cu > 0))[u]
+        for r in range(1, CUTOFF + 1):
+            yield np.where(level == r, count, 0)
+
+    for j, blob in _by_document(batch, d, logs(), numbers()):
         yield "sums", -1 - batches[j], batches[j], blob, None
-    del less, base, more, numbers
     for j, blob in _hot_tokens(is_hot[u], batch, d, count, level > 0):
         yield "hot", -1 - batches[j], batches[j], blob, None
     for i in np.flatnonzero(~own):
