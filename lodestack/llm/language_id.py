@@ -20,7 +20,7 @@ from lodestack.llm.common import bound_batches, byte_table, raw_bytes, release
 
 DIM = 4096
 CENTROIDS = 4
-#: Documents per language that the centroids are fitted on, at most (as expected, by a hash of id and text).
+#: Documents per language that the centroids are fitted on, at most (as expected, by a hash of the distinct texts).
 SAMPLE_PER_LANGUAGE = 400
 #: A text is rejected below this share of its language's first percentile of cosines.
 REJECT_SHARE = 0.1
@@ -107,16 +107,18 @@ class LanguageModel:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """A model from labelled rows; rows with a null text or label are passed over. No rows give a model that says ``und``.
 
-    The sample per language is bounded and taken by a hash of the text, so that repeated rows count alike and the size of a
-    language does not matter. Each language's vectors are clustered in a task of their own.
+    The sample per language is bounded and taken by a hash from its distinct texts, at least one, so that neither copies nor the
+    size of a language matter. Each language's vectors are clustered in a task of their own.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("draw", F.pmod("hash", F.lit(1_000_000)))
+    # copies are one text; the text drawn first is always in
+    sizes = rows.select("lang", "hash", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()  # one row per language
     if not sizes:
         return LanguageModel([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, max(1, int(1e6 * min(1, sample / n))))])
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], max(r["first"] + 1, int(1e6 * min(1, sample / r["n"]))))])
+    some = rows.where(F.col("draw") < F.try_element_at(share, F.col("lang"))).groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum((x > 0).sum(0) for x in _vectors(pa.array(pdf["text"], pa.string()), None))

@@ -41,3 +41,13 @@ def test_nothing_to_learn_from(spark, train):
 def test_empty_table(spark):
     model = language_id.fit(spark.createDataFrame(TRAIN, "text string, lang string"))
     assert spark.createDataFrame([], "text string").select(model.predict(F.col("text"))).count() == 0
+
+
+def test_languages_of_copies_are_learned(spark):
+    words = "abend berg cielo dorp etang fjord grad huis isola jour kirche lago".split()
+    rows = [(f"{w} {w[::-1]} {w}s", w) for w in words]
+    copies = spark.createDataFrame(rows, "text string, lang string").crossJoin(spark.range(600)).drop("id")
+    model = language_id.fit(copies)
+    assert sorted(set(model.langs)) == sorted(words)
+    said = spark.createDataFrame(rows, "text string, lang string").select("lang", model.predict(F.col("text")).alias("p")).collect()
+    assert all(r.p.lang == r.lang and not r.p.rejected for r in said)
