@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,23 @@ def test_languages_of_copies_are_learned(spark):
     assert sorted(set(model.langs)) == sorted(words)
     said = spark.createDataFrame(rows, "text string, lang string").select("lang", model.predict(F.col("text")).alias("p")).collect()
     assert all(r.p.lang == r.lang and not r.p.rejected for r in said)
+
+
+def test_foreign_and_junk_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    made = random.Random(3)
+    junk = {
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "hex": " ".join(f"{made.getrandbits(32):08x}" for _ in range(400)),
+        "letters": " ".join("".join(made.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)),
+    }
+    rejected = lambda df: df.select("kind", model.predict(F.col("text")).alias("p")).groupBy("kind").agg(F.avg(F.col("p.rejected").cast("int"))).collect()
+    bad = dict(rejected(spark.createDataFrame(list(junk.items()), "kind string, text string")))
+    assert bad == dict.fromkeys(junk, 1.0)
+    clean = docs.where("length(text) > 0").crossJoin(spark.createDataFrame([(5,), (12,), (100_000,)], "kind int")).select("kind", F.array_join(F.slice(F.split("text", " +"), 1, F.col("kind")), " ").alias("text"))
+    good = dict(rejected(clean))
+    assert good[100_000] <= 0.005 and good[12] <= 0.02 and good[5] <= 0.02
