@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,17 @@ def conflicts(records: DataFrame, keys: list[str], values: list[str]) -> DataFra
 def matched(payloads: DataFrame, entries: DataFrame, payload_id: str, entry_id: str, tiers: list[tuple[list[str], Column | None]]) -> DataFrame:
     """(payload, entry, tier): the first tier of equal columns that gives a payload an entry; each entry is used once.
 
-    Tiers run in order, on what the ones before have left of both sides. Within a tier the smallest entry id goes to the
-    smallest payload id.
+    Tiers run in order, on what the ones before have left of both sides. Within a tier and key the payloads, by id, take the
+    entries, by id, one each, so as many match as the smaller side has. With a condition on the pair, a key gives one match at most.
     """
     out = None
     for n, (columns, also) in enumerate(tiers, 1):
-        pair = payloads.select(payload_id, *columns).join(entries.select(entry_id, *columns), columns)
-        pair = pair.where(also) if also is not None else pair
-        first = pair.groupBy(payload_id).agg(F.min(entry_id).alias(entry_id)).groupBy(entry_id).agg(F.min(payload_id).alias(payload_id))
+        left, right = payloads.select(payload_id, *columns), entries.select(entry_id, *columns)
+        if also is None:
+            at = lambda i: F.row_number().over(Window.partitionBy(*columns).orderBy(i))  # noqa: B023, E731
+            first = left.withColumn("_at", at(payload_id)).join(right.withColumn("_at", at(entry_id)), [*columns, "_at"])
+        else:
+            first = left.join(right, columns).where(also).groupBy(payload_id).agg(F.min(entry_id).alias(entry_id)).groupBy(entry_id).agg(F.min(payload_id).alias(payload_id))
         hit = first.select(payload_id, entry_id, F.lit(n).alias("tier"))
         out = hit if out is None else out.unionByName(hit)
         payloads, entries = payloads.join(hit, payload_id, "left_anti"), entries.join(hit, entry_id, "left_anti")

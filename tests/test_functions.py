@@ -143,3 +143,12 @@ def test_headers_and_schemas(spark):
     fields = one(V.schema_fields(F.lit('{"properties": {"n": {"type": "integer"}, "t": {"title": "T"}}, "required": ["n"]}')))
     assert [tuple(f) for f in fields] == [("n", "integer", "n", True), ("t", "string", "T", False)]
     assert one(V.schema_fields(F.lit("{}"))) is None
+
+
+def test_matched_uses_every_entry_of_a_key(spark):
+    from lodestack.operators import versions
+
+    payloads = spark.createDataFrame([(2, 1, "a"), (4, 1, "a"), (6, 1, "b"), (8, 2, "a")], "p long, k long, s string")
+    entries = spark.createDataFrame([(1, 1, "a"), (3, 1, "a"), (5, 1, "a"), (7, 3, "a")], "e long, k long, s string")
+    out = versions.matched(payloads, entries, "p", "e", [(["k", "s"], None), (["k"], None)])
+    assert sorted(map(tuple, out.collect())) == [(2, 1, 1), (4, 3, 1), (6, 5, 2)]
