@@ -90,6 +90,14 @@ def content_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0null"))).alias("text_hash")]
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in either case: the given one, or one with underscores before it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # ---- token arrays over Arrow buffers (inside tasks) ----
 
 
