@@ -1,18 +1,17 @@
 """Operator 6: nearest neighbours by multi-index hashing.
 
 Vectors become binary codes under rotations learned on a bounded sample (PCA, then the rotation that brings the projections
-closest to their signs). A code is split into substrings of 16 bits, each indexed by value. Of codes within a Hamming radius
-r, at least one of m substrings differs in r // m bits at most: probing those values retrieves every code in the radius,
+closest to their signs). A code is split into substrings of PART bits, each indexed by value. Of codes within a Hamming radius
+r, at least one of m substrings differs in r // m bits at most: probing those values' lists retrieves every code in the radius,
 whose vectors are then ranked by cosine. The radius is calibrated on the sample.
 
-Queries and vectors meet in blocks, a pair of blocks per task, which returns each query's nearest in its block.
+Queries and vectors meet in blocks, a pair of blocks per task, which indexes its vectors and returns each query's nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,11 @@ from lodestack.llm.common import materialize
 #: Vectors that rotations and radius are fitted on, at most (as expected, by a hash of the id).
 SAMPLE = 4096
 ROTATIONS = 4
-PART = 16
+#: Bits of a substring: a byte, so that a block's index has 256 lists per substring, and a probe at most 256 values.
+PART = 8
 #: Share of the sample's true neighbours that the radius has to cover.
 COVER = 0.98
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 512
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 16_384
 
 
 @dataclass
@@ -39,9 +39,9 @@ class Codes:
     radius: int = 0
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """Codes of unit vectors as rows of 16-bit substrings."""
+        """Codes of unit vectors as rows of substrings."""
         bits = (x - self.mean) @ self.planes > 0
-        return np.packbits(bits, axis=1).view(np.uint16)
+        return np.packbits(bits, axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,44 +69,34 @@ def fit(x: np.ndarray, k: int, rotations: int = ROTATIONS) -> Codes:
     cosine = x[q] @ x.T
     cosine[np.arange(len(q)), q] = -2
     near = np.argsort(-cosine, axis=1)[:, : min(k, len(x) - 1)]
-    far = [np.bitwise_count(own[i] ^ own[n]).sum(1) for i, n in zip(q, near, strict=True)]
+    far = [np.bitwise_count(own[i] ^ own[n]).sum(1, dtype=np.int64) for i, n in zip(q, near, strict=True)]
     codes.radius = int(np.quantile(np.concatenate(far), COVER)) if near.size else codes.planes.shape[1]
     return codes
 
 
 class MultiIndex:
-    """A block of codes, indexed by each 16-bit substring."""
+    """A block of codes: for each substring and value the list of its rows."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.begin = [np.searchsorted(c[o], np.arange((1 << PART) + 1)) for c, o in zip(codes.T, self.order, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int, flips: np.ndarray | None) -> np.ndarray:
-        """Rows with at most ``radius`` other bits. ``flips``: the masks of up to radius // m bits; None if those are more
-        than the block's rows, when reading the substrings themselves is the shorter way to the same rows."""
-        m = self.codes.shape[1]
-        if flips is None:
-            hit = (np.bitwise_count(self.codes ^ code) <= radius // m).any(1)
-        else:
-            hit = np.zeros(len(self.codes), bool)
-            for j in range(m):
-                values = code[j] ^ flips
-                a, b = self.begin[j][values], self.begin[j][values.astype(np.int64) + 1]
-                full = b > a
-                for lo, hi in zip(a[full], b[full], strict=True):
-                    hit[self.order[j][lo:hi]] = True
+        self.lists = []
+        for c in codes.T:
+            ends = np.searchsorted(c[order := np.argsort(c, kind="stable")], np.arange(1, 1 << PART))
+            self.lists.append(np.split(order, ends))
+
+    def within(self, code: np.ndarray, radius: int, flips: np.ndarray) -> np.ndarray:
+        """Rows with at most ``radius`` other bits; ``flips`` are the masks of up to radius // m bits."""
+        hit = np.zeros(len(self.codes), bool)
+        for value, lists in zip(code, self.lists, strict=True):
+            hit[np.concatenate([lists[v] for v in value ^ flips])] = True
         rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
 
 
-def _flips(bits: int, most: int) -> np.ndarray | None:
-    found = [0]
-    for n in range(1, bits + 1):
-        found += [sum(1 << b for b in c) for c in combinations(range(PART), n)]
-        if len(found) > most:
-            return None
-    return np.array(found, np.uint16)
+def _flips(bits: int) -> np.ndarray:
+    """All masks of a substring with up to so many bits."""
+    masks = np.arange(1 << PART, dtype=np.uint8)
+    return masks[np.bitwise_count(masks) <= bits]
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -157,16 +147,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     def nearest(queries: pa.Table, found: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if len(queries) and len(found):
-            unpack = lambda t: np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint16).reshape(len(t), -1)
+            unpack = lambda t: np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1)
             mine, ids, own = unpack(queries), np.asarray(found.column("id")), unpack(found)
             a, b = _matrix(queries.column("v")), _matrix(found.column("v"))
             norms = np.linalg.norm(b, axis=1)
-            multi, flips = MultiIndex(own), _flips(codes.radius // own.shape[1], len(own))
+            multi, flips = MultiIndex(own), _flips(codes.radius // own.shape[1])
             for i, name in enumerate(np.asarray(queries.column("id"))):
                 at = multi.within(mine[i], codes.radius, flips)
                 at = at[ids[at] != name]
                 if len(at) < k:
-                    apart = np.bitwise_count(own ^ mine[i]).sum(1).astype(np.int64)
+                    apart = np.bitwise_count(own ^ mine[i]).sum(1, dtype=np.int64)
                     apart[ids == name] = 1 << 30
                     at = np.lexsort((ids, apart))[: min(k, int((ids != name).sum()))]
                 s = (b[at] @ a[i]) / (norms[at] * np.linalg.norm(a[i]))

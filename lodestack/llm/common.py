@@ -27,9 +27,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset in local mode. On a cluster it has to be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = Path(tempfile.mkdtemp(prefix="lodestack-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -63,15 +65,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is in memory whole, on both sides of a Python task.
-BATCH_ROWS = 2048
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is in memory whole, on both sides of a Python task.
+BATCH_ROWS, BATCH_BYTES = 2048, 64 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES; it stays so, as frames are lazy."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def release() -> None:

@@ -23,6 +23,8 @@ from lodestack.llm.common import BROADCAST_ROWS, materialize, small
 BREAK = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 1000
+#: Splits with cut records up to which their slices are broadcast (some 100 bytes each); beyond, pieces are shuffled to them.
+BROADCAST_SPLITS = 200_000
 _ID = "urn:lodestack:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -82,18 +84,18 @@ def _candidates(file: str, split: int, data: bytes) -> Iterator[dict]:
         }
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
-    """The bytes of each split, of which a task holds one at a time."""
-    key, pieces = None, []
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The bytes of each split, of which a task holds one at a time, between its file and offset and any further columns."""
+    key, more, pieces = None, [], []
     for b in batches:
-        for value, file, split in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for value, file, split, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if (file, split) != key:
                 if key:
-                    yield *key, BREAK.encode().join([*pieces, b""])
-                key, pieces = (file, split), []
+                    yield *key, BREAK.encode().join([*pieces, b""]), *more
+                key, more, pieces = (file, split), rest, []
             pieces.append(value)
     if key:
-        yield *key, BREAK.encode().join([*pieces, b""])
+        yield *key, BREAK.encode().join([*pieces, b""]), *more
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -137,24 +139,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chain = found.join(_reached(found), ["file", "at"])
     whole = chain.select("file", "at", "kind", "id", "refers_to", "said_digest", "bytes", "digest")
     cut = chain.where("digest is null").select("file", "at", "kind", "block", "size")
-    wanted = cut.withColumnRenamed("at", "record").join(bases, "file").where("base < block + size and base + length > block").collect()  # a few per split at most
-    if not wanted:
-        return whole
-    slices: dict = {}
-    for w in wanted:
-        slices.setdefault((w["file"], w["split"]), []).append((w["record"], w["kind"], w["block"] - w["base"], w["block"] + w["size"] - w["base"]))
-    shipped = spark.sparkContext.broadcast(slices)
+    wanted = cut.withColumnRenamed("at", "record").join(bases, "file").where("base < block + size and base + length > block")
+    slices = wanted.groupBy("file", "split").agg(F.collect_list(F.struct("record", "kind", (F.col("block") - F.col("base")).alias("a"), (F.col("block") + F.col("size") - F.col("base")).alias("b"))).alias("slices"))
+    slices = materialize(slices, "slices")  # a row per split, with what few records that split cuts want of it
+    pieces = _pieces(spark, path)
+    if slices.count() <= BROADCAST_SPLITS:
+        ordered = pieces.join(F.broadcast(slices), ["file", "split"])  # the order of the scan stays
+    else:
+        numbered = pieces.withColumn("no", F.monotonically_increasing_id()).join(slices, ["file", "split"])
+        ordered = numbered.repartition("file", "split").sortWithinPartitions("file", "split", "no")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, data in _by_split(batches):
-            for record, kind, a, b in shipped.value.get((file, split), ()):
-                yield pa.record_batch([[file], [record], [kind], [split], [data[max(0, a) : b]]], ["file", "at", "kind", "split", "part"])
+        for file, split, data, slices in _by_split(batches):
+            for x in slices:
+                yield pa.record_batch([[file], [x["record"]], [x["kind"]], [split], [data[max(0, x["a"]) : x["b"]]]], ["file", "at", "kind", "split", "part"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         payload = _payload(pdf["kind"].iloc[0], b"".join(pdf.sort_values("split")["part"]))
         return pd.DataFrame({"file": pdf["file"].iloc[:1], "at": pdf["at"].iloc[:1], "b": [len(payload)], "d": [hashlib.sha1(payload).hexdigest()]})
 
-    joined = _pieces(spark, path).mapInArrow(parts, "file string, at long, kind string, split long, part binary").groupBy("file", "at").applyInPandas(join, "file string, at long, b long, d string")
+    joined = ordered.select("value", "file", "split", "slices").mapInArrow(parts, "file string, at long, kind string, split long, part binary").groupBy("file", "at").applyInPandas(join, "file string, at long, b long, d string")
     return whole.join(joined, ["file", "at"], "left").withColumns({"bytes": F.coalesce("bytes", "b"), "digest": F.coalesce("digest", "d")}).drop("b", "d")
 
 
@@ -163,7 +167,9 @@ def pages_of(records: DataFrame, id_type: str = "long") -> DataFrame:
     the record it refers to), record_type, refers_to (a page id; null for responses)."""
     page = lambda c: F.nullif(F.regexp_extract(c, f"^<{_ID}(.*)>$", 1), F.lit("null")).cast(id_type)
     rows = records.select(page("id").alias("page_id"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"), "bytes", "digest", F.regexp_replace("said_digest", "^sha1:", "").alias("said"))
-    origins = rows.where("record_type = 'response' and bytes >= 1000").select(F.col("page_id").alias("refers_to"), F.col("bytes").alias("full_bytes"), F.col("digest").alias("full")).distinct()
-    both = rows.join(origins, "refers_to", "left")
+    origins = rows.where(f"record_type = 'response' and bytes >= {MIN_REVISIT}").select(F.col("page_id").cast("string").alias("origin"), F.col("bytes").alias("full_bytes"), F.col("digest").alias("full")).distinct()
+    # most rows refer to nothing: these get keys of their own, no page's, that spread them
+    key = F.coalesce(F.col("refers_to").cast("string"), F.concat(F.lit("none of "), F.xxhash64("page_id", "said")))
+    both = rows.withColumn("origin", key).join(origins, "origin", "left")
     revisit = F.col("record_type") == "revisit"
     return both.select("page_id", F.when(revisit, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.coalesce("full", "said")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")

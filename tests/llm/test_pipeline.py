@@ -53,7 +53,7 @@ def test_each_stage_against_brute_force_on_its_own_input(spark, tmp_path):
 
 def test_run_and_empty_documents(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "lang", "n_tokens", "ids"] and out.count() > 0
+    assert out.columns == ["doc_id", "lang", "n_tokens", "ids", "round_trip"] and out.count() > 0
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
@@ -67,3 +67,22 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         docs = written(spark, stage(spark, docs, SF), tmp_path, name.replace(" ", "-"))
     ids = [r.doc_id for r in docs.collect()]
     assert None in ids and 900_003 in ids and 900_001 not in ids and 900_002 not in ids
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = {"doc": 1, "hash": 2, "_hash": 3, "said": 4, "_said": 5, "gone": 6, "text_hash": 7, "n_lines": 8, "component_id": 9}
+    for c, v in extra.items():
+        docs = docs.withColumn(c, F.lit(v))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*extra).distinct().collect()} <= {tuple(extra.values())}
+    assert {"doc_id", "ids"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns)
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text + " a b c d e f g h i j k l m n o p"), (None, text + " a b c d e f g h i j k l m n o p"), (2, None), (2, None)], "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()), key=str)
+    assert len(out) == 3

@@ -60,3 +60,17 @@ def test_traps_are_candidates_but_not_records(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert round_trip(spark, tmp_path, [])[1] == []
+
+
+def test_cut_records_by_a_shuffle_when_splits_are_too_many_to_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://a.org/{i}", f"<p>{i}</p>\r\n\r\n" * 400) for i in range(40)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        want = sorted(tuple(r) for r in warc.pages_of(warc.read(spark, str(tmp_path / "w"))).collect())
+        monkeypatch.setattr(warc, "BROADCAST_SPLITS", 0)
+        assert sorted(tuple(r) for r in warc.pages_of(warc.read(spark, str(tmp_path / "w"))).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r[0], r[1]) for r in want] == [(i, len(h.encode())) for i, _, h in rows]
