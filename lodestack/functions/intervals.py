@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted spellings of comparisons.
-COMPARISONS = [("\\geqslant", "≥"), ("\\leqslant", "≤"), ("\\geq", "≥"), ("\\leq", "≤"), ("\\ge", "≥"), ("\\le", "≤"), ("＞", ">"), ("＜", "<"), ("<=", "≤"), (">=", "≥")]
+# The accepted spellings of comparisons, besides < and >.
+AT_MOST = ["≤", "<=", r"\le", r"\leq", r"\leqslant"]
+AT_LEAST = ["≥", ">=", r"\ge", r"\geq", r"\geqslant"]
+LESS, MORE = ["＜"], ["＞"]
 _NUMBER = r"-?\d+(?:\.\d+)?"
 _NAME = "[A-Za-z_][A-Za-z_0-9]*"
-_OP = "[<≤>≥]"
 INTERVAL = "struct<variable:string,lower:decimal(38,18),upper:decimal(38,18),lower_inclusive:boolean,upper_inclusive:boolean>"
 
 
+def _any(spellings: list[str]) -> str:
+    """A pattern of the spellings, the longest first, as one may begin with another."""
+    return "|".join(r"\s*".join(re.escape(c) for c in x) if x.endswith("=") else re.escape(x) for x in sorted(spellings, key=len, reverse=True))
+
+
 def _plain(text: Column) -> Column:
-    """One spelling of each comparison, no spaces, no dollar signs around, no font commands."""
-    out = F.regexp_replace(F.trim(text), r"^\$+|\$+$", "")
-    for spelling, sign in COMPARISONS:
-        out = F.replace(F.regexp_replace(out, r"\s+", "") if spelling == "<=" else out, F.lit(spelling), F.lit(sign))
-    return F.regexp_replace(out, r"\\(?:mathrm|text)\{(" + _NAME + r")\}", "$1")
+    """One sign for each comparison, names out of font commands, no spaces and no dollar signs at the ends."""
+    out = text
+    for sign, spellings in (("≤", AT_MOST), ("≥", AT_LEAST), ("<", LESS), (">", MORE)):
+        out = F.regexp_replace(out, _any(spellings), sign)
+    return F.regexp_replace(F.regexp_replace(out, r"\\(?:mathrm|text)\{(\w+)\}", "$1"), r"\s+|^\s*\$+|\$+\s*$", "")
 
 
 def parse_interval(text: Column) -> Column:
@@ -30,20 +38,21 @@ def parse_interval(text: Column) -> Column:
     return F.transform(F.array(_plain(text)), _parsed)[0]  # binds the plain text to a name, so that it is made once
 
 
+_GRAMMAR = f"^(?:({_NUMBER})([<≤>≥]))?({_NAME})?(?:([<≤>≥])({_NUMBER}))?$"
+
+
 def _parsed(t: Column) -> Column:
-    part = lambda p, i: F.regexp_extract(t, p, i)
-    turned = lambda op: F.translate(op, "<≤>≥", ">≥<≤")
-    both, after, before = f"^({_NUMBER})({_OP})({_NAME})({_OP})({_NUMBER})$", f"^({_NAME})?({_OP})({_NUMBER})$", f"^({_NUMBER})({_OP})({_NAME})$"
-    is_both, is_after, is_before = (F.regexp_like(t, F.lit(p)) for p in (both, after, before))
-    op1 = F.when(is_both, turned(part(both, 2))).when(is_after, part(after, 2)).when(is_before, turned(part(before, 2)))
-    n1 = F.when(is_both, part(both, 1)).when(is_after, part(after, 3)).when(is_before, part(before, 1)).cast("decimal(38,18)")
-    op2, n2 = F.when(is_both, part(both, 4)), F.when(is_both, part(both, 5)).cast("decimal(38,18)")
-    name = F.when(is_both, part(both, 3)).when(is_after, F.nullif(part(after, 1), F.lit(""))).when(is_before, part(before, 3))
-    low = lambda op: op.isin(">", "≥")
-    lower, upper = F.when(low(op1), n1).when(low(op2), n2), F.when(~low(op1), n1).when(~low(op2), n2)
-    closed = lambda want: F.coalesce(F.when(low(op1) == want, op1.isin("≥", "≤")).when(low(op2) == want, op2.isin("≥", "≤")), F.lit(False))
-    good = op1.isNotNull() & (op2.isNull() | (low(op1) != low(op2))) & (lower.isNull() | upper.isNull() | (lower < upper))
-    made = F.struct(name.alias("variable"), lower.alias("lower"), upper.alias("upper"), closed(True).alias("lower_inclusive"), closed(False).alias("upper_inclusive"))
+    """An interval is a bound, a name and a bound, each of which may be missing; a name alone is none, and so is a bound before no name."""
+    part = lambda i: F.nullif(F.regexp_extract(t, _GRAMMAR, i), F.lit(""))
+    before, name, after = part(2), part(3), part(4)
+    # what stands before the name bounds it from below when it is the smaller side
+    ends = [(before, part(1), before.isin("<", "≤")), (after, part(5), after.isin(">", "≥"))]
+    lower = F.coalesce(*[F.when(low, F.struct(number.cast("decimal(38,18)").alias("at"), sign.isin("≤", "≥").alias("closed"))) for sign, number, low in ends])
+    upper = F.coalesce(*[F.when(~low, F.struct(number.cast("decimal(38,18)").alias("at"), sign.isin("≤", "≥").alias("closed"))) for sign, number, low in ends])
+    two = before.isNotNull() & after.isNotNull()
+    good = F.when(two, lower.isNotNull() & upper.isNotNull() & (lower["at"] < upper["at"])).otherwise(before.isNotNull() | after.isNotNull()) & (before.isNull() | name.isNotNull())
+    closed = lambda end: F.coalesce(end["closed"], F.lit(False))
+    made = F.struct(name.alias("variable"), lower["at"].alias("lower"), upper["at"].alias("upper"), closed(lower).alias("lower_inclusive"), closed(upper).alias("upper_inclusive"))
     return F.when(good, made)
 
 

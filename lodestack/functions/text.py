@@ -50,27 +50,17 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?s)<!--.*?-->", " "), "<[^>]*>", " "), "[ \\t\\n\\r]+", " "))
 
 
-def is_page_mark(line: Column) -> Column:
-    """Page numbers, and standard numbers as they stand in page heads."""
-    return F.regexp_like(F.trim(line), F.lit(r"^[0-9]{1,4}$|^[—-]\s*[0-9]{1,4}\s*[—-]$|^[A-Z]{1,6}\s*/?\s*[A-Z]?\s*[0-9]+(\.[0-9]+)?\s*[—-]\s*[0-9]{4}$"))
-
-
-def is_noise(line: Column) -> Column:
-    """Lines with addresses, and single formula symbols on their own."""
-    return F.regexp_like(F.lower(line), F.lit(r"https?://|www\.")) | F.trim(line).isin("T", "t", "p", "σ", "η", "=")
-
-
-def clean_line(line: Column) -> Column:
-    """Without empty brackets, addresses and page dashes; runs of white space become one space."""
-    t = F.regexp_replace(line, r"\[\s*\]", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)https?://\S+", ""), r"(?i)\bwww\.\S+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[—-]\s*[0-9]{1,4}\s*[—-]", ""), r"\s{2,}", " "))
+#: Whole lines that go with their break: numbers of pages between dashes, standard numbers with their year, lines with an
+#: address, and single letters of formulas. Written for a whole text, so that lines need not be looked at one by one.
+NOISE_LINE = r"(?:[ —–-]*[0-9]{1,4}[ —–-]*|[A-Z/ ]{1,10}[0-9.]+ ?[—–-] ?(?:19|20)[0-9]{2} *|.*(?i:https?:|www[.]).*| *[Ttpση=] *)"
+#: What goes from within a line: brackets around nothing, and page numbers between dashes.
+NOISE_WITHIN = r"\[ *\]|[—–-] *[0-9]{1,4} *[—–-]"
 
 
 def clean_lines(text: Column) -> Column:
-    """Each line cleaned, page marks and noise lines dropped, three or more line breaks made two."""
-    kept = F.filter(F.split(text, "\n"), lambda x: ~is_page_mark(x) & ~is_noise(x))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(kept, clean_line), "\n"), "\n{3,}", "\n\n"))
+    """Noise lines and noise within lines dropped, runs of spaces one space, three or more line breaks two, none at the ends."""
+    kept = F.regexp_replace(F.regexp_replace(text, f"(?md)^{NOISE_LINE}$\\n?", ""), NOISE_WITHIN, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, " {2,}", " "), "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
 
 
 def masked(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.lookup import few
+
 
 def one_hop(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Edges at a node with this name or alias, case folded, in either direction, with both ends' names."""
@@ -23,5 +25,5 @@ def violations(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFram
     t = kinds.select(F.col("key").alias("target"), F.col("kind").alias("target_kind"))
     ends = edges.join(s, "source", "left").join(t, "target", "left")
     lost = ends.where("source_kind is null or target_kind is null").select(F.lit("missing_end").alias("code"), F.col("edge").alias("subject"))
-    wrong = ends.where("source_kind is not null and target_kind is not null").join(F.broadcast(rules), ["relation", "source_kind", "target_kind"], "left_anti")
+    wrong = ends.where("source_kind is not null and target_kind is not null").join(few(rules), ["relation", "source_kind", "target_kind"], "left_anti")
     return twice.unionByName(lost).unionByName(wrong.select(F.lit("kind_not_allowed").alias("code"), F.col("edge").alias("subject")))

@@ -14,6 +14,15 @@ def interval_lookup(values: DataFrame, value: str, rules: DataFrame, text: str)
     return values.join(parsed, interval_contains(F.col("_interval"), F.col(value))).drop("_interval")
 
 
+#: Rows up to which a side of a join is broadcast, where rows are short.
+FEW = 200_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """A broadcast hint if ``df`` has at most so many rows, by a count; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """The ``number``-th page (from 1) of ordered rows; size between 1 and 100."""
     size = min(max(size, 1), 100)
@@ -41,6 +50,6 @@ def tiered_match(queries: DataFrame, rows: DataFrame, query: str, names: list[st
     exact, within = F.lit(False), F.lit(False)
     for n in name:
         exact, within = exact | (n == said), within | F.contains(n, said)
-    hits = rows.join(F.broadcast(queries), within).withColumn("tier", F.when(exact, 1).otherwise(2))
+    hits = rows.join(few(queries), within).withColumn("tier", F.when(exact, 1).otherwise(2))
     best = hits.groupBy(query).agg(F.min("tier").alias("tier"))
     return hits.join(best, [query, "tier"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import chunking
+from lodestack.operators import chunking, lookup
 from lodestack.registry import query, table
 
 
@@ -35,11 +35,8 @@ def language_detect(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.language_by_share(F.col("text")).alias("by_share"), T.language_by_evidence(F.col("text")).alias("by_evidence"))
 
 
-@query(r"""
-with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(trim(x, ' '), '^[0-9]{1,4}$|^[—-]\s*[0-9]{1,4}\s*[—-]$|^[A-Z]{1,6}\s*/?\s*[A-Z]?\s*[0-9]+(\.[0-9]+)?\s*[—-]\s*[0-9]{4}$')
-  and not regexp_matches(lower(x), 'https?://|www\.') and trim(x, ' ') not in ('T', 't', 'p', 'σ', 'η', '=')) as x from documents),
-c as (select doc_id, list_transform(x, lambda y: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(y, '\[\s*\]', '', 'g'), '(?i)https?://\S+', '', 'g'), '(?i)\bwww\.\S+', '', 'g'), '[—-]\s*[0-9]{1,4}\s*[—-]', '', 'g'), '\s{2,}', ' ', 'g'), ' ')) as x from l)
-select doc_id, sha256(trim(regexp_replace(array_to_string(x, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) as cleaned from c""")
+@query(f"""
+select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^{T.NOISE_LINE}$\\n?', '', 'g'), '{T.NOISE_WITHIN}', '', 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) as cleaned from documents""")
 def line_cleaner(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.sha2(T.clean_lines(F.col("text")), 256).alias("cleaned"))
 
@@ -95,29 +92,29 @@ select item_id, doc_id, cast(strpos(d.text, n.text) - 1 as bigint) as start, (le
 def grounding_check(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts that occur verbatim in documents, and whether once: candidates by a hashed anchor, then checked.
 
-    Anchors are the item's first 12 characters; a document's positions that begin an anchor are found in an equi-join
-    with all its distinct windows of that size, so neither side is compared with all of the other.
+    Anchors are the items' first 12 characters, or all of shorter ones; empty items are void. A document's windows of these
+    sizes are looked up in the anchors, which are broadcast if they are few, so that no window is shuffled then.
     """
-    size = 12
-    items = table(spark, sf, "benchmark").where(F.length("text") >= size).select("item_id", F.col("text").alias("quote"), F.xxhash64(F.substring("text", 1, size)).alias("anchor"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(size))))
-    anchors = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(windows)).alias("anchor"))
-    pairs = anchors.join(items, "anchor").select("doc_id", "item_id", "quote")
+    most = 12
+    items = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"), F.least(F.length("text"), F.lit(most)).alias("size"))
+    items = items.withColumn("anchor", F.xxhash64("size", F.substring(F.col("quote"), F.lit(1), F.col("size"))))
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # 12 at most
+    windows = [F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.xxhash64(F.lit(n), F.substring(F.col("text"), i, F.lit(n)))) for n in sizes]  # noqa: B023
+    windows = [F.when(F.length("text") >= n, w).otherwise(F.array().cast("array<bigint>")) for n, w in zip(sizes, windows, strict=True)]
+    anchors = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *windows))).alias("anchor"))
+    pairs = anchors.join(lookup.few(items), "anchor").select("doc_id", "item_id", "quote")
     hits = pairs.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote")))
     once = F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit(""))) == F.length("quote")
     return hits.select("item_id", "doc_id", (F.expr("locate(quote, text)") - 1).cast("long").alias("start"), once.alias("is_unique"))
 
 
 @query("""
-select source, cast(count(*) as bigint) as n, sha256(string_agg(k, ',' order by doc_id)) as digest from (
-  select doc_id, source, case when source = '' then '' when length(source) <= 8 then '***' else substr(source, 1, 4) || '***' || right(source, 4) end
-    || '/' || case when contains(lower(lang || '_key'), 'key') then '***REDACTED***' else lang end || '/' || case when length(lang || ':' || doc_id) <= 8 then '***' else substr(lang || ':' || doc_id, 1, 4) || '***' || right(lang || ':' || doc_id, 4) end as k from documents) group by source""")
+select doc_id, case when source = '' then '' when length(source) <= 8 then '***' else substr(source, 1, 4) || '***' || right(source, 4) end as source,
+  case when contains(lower(lang || '_key'), 'key') then '***REDACTED***' else lang end as lang, case when length(lang || ':' || doc_id) <= 8 then '***' else substr(lang || ':' || doc_id, 1, 4) || '***' || right(lang || ':' || doc_id, 4) end as label from documents""")
 def secret_mask(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).withColumn("label", F.concat("lang", F.lit(":"), F.col("doc_id").cast("string")))
+    """Masked values row by row."""
     hidden = F.when(T.is_secret_key(F.concat("lang", F.lit("_key"))), "***REDACTED***").otherwise(F.col("lang"))
-    k = F.concat_ws("/", T.masked(F.col("source")), hidden, T.masked(F.col("label")))
-    g = d.groupBy("source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", k.alias("k")))).alias("all"))
-    return g.select("source", "n", F.sha2(F.array_join(F.transform("all", lambda s: s["k"]), ","), 256).alias("digest"))
+    return _docs(spark, sf).select("doc_id", T.masked(F.col("source")).alias("source"), hidden.alias("lang"), T.masked(F.concat("lang", F.lit(":"), F.col("doc_id").cast("string"))).alias("label"))
 
 
 @query("""

@@ -159,10 +159,10 @@ def publication_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with p as (select c_custkey, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 0), e as (select c_custkey as e, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 1),
-a as (select e, min(c_custkey) as c_custkey from (select c_custkey, min(e) as e from p join e using (c_nationkey, c_mktsegment) group by 1) group by 1),
-b as (select e, min(c_custkey) as c_custkey from (select c_custkey, min(e.e) as e from p join e using (c_nationkey) where c_custkey not in (select c_custkey from a) and e.e not in (select e from a) group by 1) group by 1)
-select c_custkey, e as entry, 1 as tier from a union all select c_custkey, e, 2 from b""")
+with p as (select c_custkey, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 0), e as (select c_custkey as entry, c_nationkey, c_mktsegment from customer where c_custkey % 2 = 1),
+a as (select c_custkey, entry from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as rn from p) join (select *, row_number() over (partition by c_nationkey, c_mktsegment order by entry) as rn from e) using (c_nationkey, c_mktsegment, rn)),
+b as (select c_custkey, entry from (select *, row_number() over (partition by c_nationkey order by c_custkey) as rn from p where c_custkey not in (select c_custkey from a)) join (select *, row_number() over (partition by c_nationkey order by entry) as rn from e where entry not in (select entry from a)) using (c_nationkey, rn))
+select c_custkey, entry, 1 as tier from a union all select c_custkey, entry, 2 from b""")
 def recovery_match(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads to ledger entries by precedence, each entry once."""
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
