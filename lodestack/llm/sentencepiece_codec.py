@@ -322,7 +322,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 def _encoder_of(v: Vocabulary) -> Encoder:
     """One per worker and vocabulary."""
-    key = hash(tuple(v.pieces))
+    key = hash((tuple(v.pieces), v.ranks.tobytes()))
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(v)
@@ -345,6 +345,33 @@ def encode(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
     return ids(F.coalesce(text, F.lit("")))
 
 
+def encode_checked(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
+    """struct(ids, round_trip): as ``encode``, and whether the ids decode to the text, in which U+2581 is a space. One worker does both."""
+    bound_batches(spark)
+    shipped = spark.sparkContext.broadcast(v)
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, table = _encoder_of(shipped.value), _piece_table(shipped.value)
+        for texts in batches:
+            for i in range(0, len(texts), ROWS):
+                some = texts.slice(i, ROWS)
+                ids = encoder.encode(some)
+                same = pc.equal(_joined(ids, table), pc.replace_substring(some, SPACE, " "))
+                yield pa.StructArray.from_arrays([ids, same], names=["ids", "round_trip"])
+            release()
+
+    return checked(F.coalesce(text, F.lit("")))
+
+
+def _piece_table(v: Vocabulary) -> pa.Array:
+    """The bytes of each id, and none for the number after the last."""
+    pieces = list(v.pieces)
+    for b, i in enumerate(v.byte_ids):
+        pieces[i] = bytes([b])
+    return pa.array([*pieces, b""], pa.large_binary())
+
+
 def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
     """The text of an id array, without the dummy space. Null gives null, an empty array an empty text; ids out of range,
     null or of control pieces add nothing. Bytes that are no UTF-8 become U+FFFD."""
@@ -353,10 +380,7 @@ def decode(spark: SparkSession, ids: Column, v: Vocabulary) -> Column:
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = list(shipped.value.pieces)
-        for b, i in enumerate(shipped.value.byte_ids):
-            pieces[i] = bytes([b])
-        table = pa.array([*pieces, b""], pa.large_binary())
+        table = _piece_table(shipped.value)
         for lists in batches:
             for i in range(0, len(lists), ROWS):
                 yield _joined(lists.slice(i, ROWS), table)

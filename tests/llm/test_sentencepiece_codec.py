@@ -49,3 +49,15 @@ def test_edges_and_decoding(spark, library):
     ids = spark.createDataFrame([(None,), ([],), ([None, -1, 99_999, 0, 1, 2],), ([library.piece_to_id("<0xC3>")],), (library.encode("ok"),)], "ids array<int>")
     assert [r[0] for r in ids.select(codec.decode(spark, F.col("ids"), v)).collect()] == [None, "", "", "�", "ok"]
     assert df.limit(0).count() == 0
+
+
+def test_encoded_and_checked_in_one(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.llm import sentencepiece_codec as codec
+    from lodestack.llm.entries import PIECE_MODEL
+
+    v = codec.load(PIECE_MODEL)
+    df = spark.createDataFrame([(None,), ("",), ("Hello  world",), ("a▁b",), ("中文 x\n",)], "t string")
+    for r in df.select("t", codec.encode(spark, F.col("t"), v).alias("ids"), codec.encode_checked(spark, F.col("t"), v).alias("c")).collect():
+        assert r.c.ids == r.ids and r.c.round_trip is True
