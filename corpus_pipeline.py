@@ -75,11 +75,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, n_tokens and SentencePiece ids of what is left, and whether they decode to the text; a null text has no ids."""
-    vocabulary = sentencepiece_codec.load(PIECE_MODEL)
-    own = unused("ids", docs)
-    coded = docs.withColumn(own, sentencepiece_codec.encode(spark, F.col("text"), vocabulary))
-    same = sentencepiece_codec.decode(spark, F.col(own), vocabulary) == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_codec.SPACE), F.lit(" "))
-    return coded.select("doc_id", "lang", F.size(own).cast("long").alias("n_tokens"), F.col(own).alias("ids"), same.alias("round_trip"))
+    own = unused("coded", docs)
+    coded = docs.withColumn(own, sentencepiece_codec.encode_checked(spark, F.col("text"), sentencepiece_codec.load(PIECE_MODEL)))
+    return coded.select("doc_id", "lang", F.size(f"{own}.ids").cast("long").alias("n_tokens"), f"{own}.ids", f"{own}.round_trip")
 
 
 STAGES = [
