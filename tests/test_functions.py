@@ -152,3 +152,14 @@ def test_matched_uses_every_entry_of_a_key(spark):
     entries = spark.createDataFrame([(1, 1, "a"), (3, 1, "a"), (5, 1, "a"), (7, 3, "a")], "e long, k long, s string")
     out = versions.matched(payloads, entries, "p", "e", [(["k", "s"], None), (["k"], None)])
     assert sorted(map(tuple, out.collect())) == [(2, 1, 1), (4, 3, 1), (6, 5, 2)]
+
+
+def test_grounding_takes_short_items_and_repeats(spark, tmp_path):
+    from lodestack.plans.documents import grounding_check
+
+    docs = [(1, "a short one"), (2, "the benchmark passage, the benchmark passage"), (3, ""), (4, None)]
+    items = [(1, "short"), (2, "the benchmark passage"), (3, "a"), (4, "nowhere at all"), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = sorted((i, d, t.find(q), t.count(q) == 1) for d, t in docs if t for i, q in items if q and q in t)
+    assert sorted(tuple(r) for r in grounding_check(spark, str(tmp_path)).collect()) == want
