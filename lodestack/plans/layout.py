@@ -114,11 +114,11 @@ def label_binding(spark: SparkSession, sf: str) -> DataFrame:
 with recursive c as (select conv_id, length(text) as n, row_number() over (partition by conv_id order by turn, role, text) as i from conversations),
 f(conv_id, i, batch, size, units) as (
   select conv_id, i, 0, n, 1 from c where i = 1
-  union all select c.conv_id, c.i, case when f.size + c.n > 2000 or f.units >= 40 then f.batch + 1 else f.batch end, case when f.size + c.n > 2000 or f.units >= 40 then c.n else f.size + c.n end,
-    case when f.size + c.n > 2000 or f.units >= 40 then 1 else f.units + 1 end from f join c on c.conv_id = f.conv_id and c.i = f.i + 1)
+  union all select c.conv_id, c.i, case when f.size + c.n > 12000 or f.units >= 40 then f.batch + 1 else f.batch end, case when f.size + c.n > 12000 or f.units >= 40 then c.n else f.size + c.n end,
+    case when f.size + c.n > 12000 or f.units >= 40 then 1 else f.units + 1 end from f join c on c.conv_id = f.conv_id and c.i = f.i + 1)
 select conv_id, cast(batch as bigint) as batch, cast(max(units) as bigint) as units, cast(max(size) as bigint) as chars from f group by 1, 2""")
 def batches_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation's units in order; a batch ends where one more would make over 2000 characters or over 40 units.
+    """A conversation's units in order; a batch ends where one more would make over 12000 characters or over 40 units.
 
     A unit of more characters is a batch of its own. Only lengths are gathered, of one conversation at a time.
     """
@@ -127,7 +127,7 @@ def batches_by_size(spark: SparkSession, sf: str) -> DataFrame:
 
     def step(acc: Column, n: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        full = F.coalesce((last["chars"] + n > 2000) | (last["units"] >= 40), F.lit(True))
+        full = F.coalesce((last["chars"] + n > 12000) | (last["units"] >= 40), F.lit(True))
         one = F.struct(n.cast("long").alias("chars"), F.lit(1).cast("long").alias("units"))
         more = F.struct((last["chars"] + n).cast("long").alias("chars"), (last["units"] + 1).cast("long").alias("units"))
         return F.when(full, F.array_append(acc, one)).otherwise(F.array_append(F.slice(acc, 1, F.size(acc) - 1), more))
