@@ -12,6 +12,23 @@ UNREADABLE = ["n/a", "na", "n.a.", "?", "？", "无法识别", "看不清", "unr
 # Alignment letters that stand for no column.
 ALIGNMENTS = ["c", "l", "r"]
 
+# What commands on members are called, and words for forms.
+MEMBER_PARTS = ["member", "role", "org"]
+MEMBERSHIP, MEMBER_TOOLS = "membership", "MCP.membership."
+FORM_WORDS = ["form", "表单"]
+
+
+def needs_members(command: Column, tags: Column, source: Column) -> Column:
+    """Whether a command works on members, by its name, its tags or its source; nulls do not."""
+    name = F.coalesce(command, F.lit(""))
+    part = F.exists(F.array(*[F.lit(w) for w in MEMBER_PARTS]), lambda w: F.contains(F.lower(name), w))
+    tagged = F.coalesce(F.array_contains(F.transform(tags, lambda x: F.lower(x)), MEMBERSHIP), F.lit(False))
+    return F.startswith(name, F.lit(MEMBER_TOOLS)) | part | tagged | (F.lower(F.coalesce(source, F.lit(""))) == MEMBERSHIP)
+
+
+def asks_form(prompt: Column) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in FORM_WORDS]), lambda w: F.contains(F.lower(F.coalesce(prompt, F.lit(""))), w))
+
 
 def language_code(c: Column) -> Column:
     """zh, en, or unknown for all else and null."""

@@ -248,13 +248,18 @@ def capability_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select user_id, bool_or(starts_with(event_type, 'sign') or contains(lower(event_type), 'err')) as needs_state, coalesce(case when bool_or(contains(lower(props), '"k": 7')) then 'form' end, 'bpmn') as kind from events group by user_id""")
+with c as (select user_id, cast(ts as date) as day, case when value > 180 then 'MCP.membership.list' when value > 170 then 'get_ROLE' else 'save' end as command, case when event_type = 'view' and value < 10 then 'Membership' else 'misc' end as tag, case when event_type = 'click' and value < 5 then 'Membership' end as source, case when event_type = 'error' and value > 100 then 'A Form for leave' else 'Approval of leave' end as prompt from events)
+select user_id, day, bool_or(starts_with(command, 'MCP.membership.') or contains(lower(command), 'member') or contains(lower(command), 'role') or contains(lower(command), 'org') or lower(tag) = 'membership' or lower(coalesce(source, '')) = 'membership') as needs_state,
+  case when bool_or(contains(lower(prompt), 'form')) then 'form' else 'bpmn' end as kind from c group by all""")
 def planning_needs(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether any command of a plan needs the system's state, and what its prompts ask to be made; a process unless a form is named."""
-    kind, command = F.col("event_type"), F.lower("event_type")
-    needs = F.bool_or(F.startswith(kind, F.lit("sign")) | F.contains(command, F.lit("err")))
-    form = F.bool_or(F.contains(F.lower("props"), F.lit('"k": 7')))
-    return table(spark, sf, "events").groupBy("user_id").agg(needs.alias("needs_state"), F.when(form, "form").otherwise("bpmn").alias("kind"))
+    """Whether any command of a plan needs the members' directory, and what its prompts ask to be made: a process unless a form is named."""
+    kind, value = F.col("event_type"), F.col("value")
+    command = F.when(value > 180, "MCP.membership.list").when(value > 170, "get_ROLE").otherwise("save")
+    tags = F.array(F.when((kind == "view") & (value < 10), "Membership").otherwise("misc"))
+    source = F.when((kind == "click") & (value < 5), "Membership")
+    prompt = F.when((kind == "error") & (value > 100), "A Form for leave").otherwise("Approval of leave")
+    plans = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day"))
+    return plans.agg(F.bool_or(M.needs_members(command, tags, source)).alias("needs_state"), F.when(F.bool_or(M.asks_form(prompt)), "form").otherwise("bpmn").alias("kind"))
 
 
 @query(r"""

@@ -71,3 +71,11 @@ def test_by_beginning(spark):
     names = spark.createDataFrame([("gpt-b",), ("gpt-c",), ("y-1",), ("-1",), ("",), (None,)], "name string")
     got = {r.name: (r.entry, r.exact) for r in ledger.by_beginning(names, catalogue, "name", "entry", "at").collect()}
     assert got == {"gpt-b": ("gpt-b", True), "gpt-c": ("gpt-a", False), "y-1": (None, False), "-1": ("x", False), "": ("x", False), None: (None, False)}
+
+
+def test_planning_words(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, M.needs_members(none, F.lit(None).cast("array<string>"), none)) is False
+    assert one(spark, M.needs_members(F.lit("x"), F.array(none, F.lit("Membership")), none)) is True
+    assert one(spark, M.needs_members(F.lit("listOrgs"), F.array(none), none)) is True
+    assert texts(spark, M.asks_form, "A FORM", "请假表单", "flow", "", None) == [True, True, False, False, False]
