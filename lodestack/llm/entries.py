@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, near_dedup, secret_scan, sentencepiece_codec, url_filter, warc
+from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, near_dedup, secret_scan, sentencepiece_codec, token_count, url_filter, warc
 from lodestack.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    if tokenizer_file is None:
+        import public_tokenizers
+
+        tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), token_count.compile_tokenizer(tokenizer_file), limit=512)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_token_count": op11_token_count,
 }
 
 
