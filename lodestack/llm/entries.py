@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, near_dedup, secret_scan, sentencepiece_codec, token_count, url_filter, warc
+from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, merkle, near_dedup, secret_scan, sentencepiece_codec, token_count, url_filter, warc
 from lodestack.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,19 @@ def op11_token_count(spark: SparkSession, sf_dir: str, tokenizer_file: str | Non
     return token_count.token_counts(_table(spark, sf_dir, "documents"), token_count.compile_tokenizer(tokenizer_file), limit=512)
 
 
+#: The values of a leaf, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF])
+    claims = {"doc_id": F.col("doc_id"), "tampered": F.when(crc_mod("doc_id", 7) == 0, tampered)}
+    made = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), merkle.leaf_of([F.col(c) for c in LEAF]), claims)
+    said = merkle.verified(made, F.coalesce("tampered", "leaf")).select("doc_id", *merkle.digests(made), merkle.hexed(F.col("folded_root")).alias("folded_root"))
+    return said.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -104,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_token_count": op11_token_count,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 
@@ -111,6 +125,12 @@ def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}'))"
 
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+
+#: CRC-32 of a decimal number, bit by bit; the constant is the reflected polynomial.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(p.doc_id as varchar), ''), lambda d: ascii(d)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"
+
 _SORTED = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
 
 ORACLES: dict[str, str] = {
@@ -154,4 +174,28 @@ links as (select x, y from l union all select y, x from l),
 r(x, y) as (select doc_id, doc_id from documents union select r.x, links.y from r join links on r.y = links.x)
 select doc_id, cast(len(s) as bigint) as n_shingles, c.component_id, doc_id = c.component_id as kept
 from s join (select x, min(y) as component_id from r group by x) c on s.doc_id = c.x""",
+    "op12_merkle_manifest": f"""
+with recursive d as (select doc_id, lang, {_LEAF.format(n='n_chars')} as leaf, {_LEAF.format(n='n_chars + 1')} as other from documents),
+p as (select *, row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as size from d),
+w(lang, lvl, pos, size, h) as (
+  select lang, 0, pos, size, leaf from p
+  union all select lang, lvl + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from w where size > 1 group by lang, lvl, pos // 2, (size + 1) // 2),
+s as (select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as size from w where size = 1),
+t(lvl, pos, size, h) as (
+  select 0, pos, size, h from s
+  union all select lvl + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from t where size > 1 group by lvl, pos // 2, (size + 1) // 2),
+steps as (
+  select p.doc_id, 0 as part, w.lvl, x.h, (p.pos >> w.lvl) % 2 as side from p join w on w.lang is not distinct from p.lang and w.pos = p.pos >> w.lvl and w.size > 1
+    left join w x on x.lang is not distinct from p.lang and x.lvl = w.lvl and x.pos = xor(w.pos, 1)
+  union all
+  select p.doc_id, 1, t.lvl, x.h, (s.pos >> t.lvl) % 2 from p join s on s.lang is not distinct from p.lang join t on t.pos = s.pos >> t.lvl and t.size > 1
+    left join t x on x.lvl = t.lvl and x.pos = xor(t.pos, 1)),
+proof as (select doc_id, list({{'h': coalesce(h, ''), 'side': side}} order by part, lvl) as steps from steps group by doc_id),
+f as (
+  select p.doc_id, leaf, s.h as subroot, (select h from t where size = 1) as root, coalesce(steps, []) as steps,
+    case when {_CRC} % 7 = 0 then coalesce(other, leaf) else leaf end as claim
+  from p join s on s.lang is not distinct from p.lang left join proof using (doc_id)),
+g as (select *, list_reduce(list_concat([claim], list_transform(steps, lambda x: x.side || x.h)), lambda a, x: sha256(case when x[1] = '1' then x[2:] || a else a || x[2:] end)) as folded_root from f)
+select doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(steps, lambda x: x.h), 'string_agg', ''), '')) as proof_sha256, folded_root, folded_root = root as verified
+from g""",
 }
