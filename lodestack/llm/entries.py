@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import ann, decontaminate, language_id, line_dedup, lm_score, merkle, near_dedup, secret_scan, sentencepiece_codec, token_count, url_filter, warc
+from lodestack.llm import ann, decontaminate, language_id, lexical_search, line_dedup, lm_score, merkle, near_dedup, secret_scan, sentencepiece_codec, token_count, url_filter, warc
 from lodestack.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -118,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_token_count": op11_token_count,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 
@@ -198,4 +203,15 @@ f as (
 g as (select *, list_reduce(list_concat([claim], list_transform(steps, lambda x: x.side || x.h)), lambda a, x: sha256(case when x[1] = '1' then x[2:] || a else a || x[2:] end)) as folded_root from f)
 select doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(steps, lambda x: x.h), 'string_agg', ''), '')) as proof_sha256, folded_root, folded_root = root as verified
 from g""",
+    "op13_lexical_search": r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+p as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, sum(tf)::bigint as n from p group by all),
+s as (select count(*) as docs, sum(n)::bigint as words from n),
+m as (select doc_id, 50 + (50 * n * docs) // words as m from n, s),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from p group by all), s),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from i join p using (term) join w using (term) join m using (doc_id) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from r where score > 0
+qualify rank <= 50""",
 }
