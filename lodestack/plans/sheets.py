@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import projection
+from lodestack.operators import alignment, areas, projection
 from lodestack.registry import query, table
 
 # Tables are made of four parts each, with shapes that follow their number t: heads of one or two rows, heads written as plain
@@ -96,3 +96,99 @@ def table_records(spark: SparkSession, sf: str) -> DataFrame:
     """Each value of the projected tables with its column's names, its kind and the cell that it was read from; those of doubtful tables unpublished."""
     _, records = projection.project(projection.source_cells(_sheets(spark, sf), "t", "html"), "t")
     return records.withColumn("path", F.array_join("path", " / "))
+
+
+#: The kind of a cell v.
+_KIND = r"""case when v = '' then 'blank' when v in ('n/a', 'na', 'n.a.', '?', '？', '无法识别', '看不清', 'unreadable') then 'unreadable' when regexp_matches(v, '^-?[0-9]+([.,][0-9]+)?\s*%$') then 'percent' when regexp_matches(v, '^-?[0-9]+([.,][0-9]+)?\s*°\s*[cf]$') then 'temperature'
+  when regexp_matches(v, '^-?[0-9]+([.,][0-9]+)?\s*[~-]\s*[0-9]+([.,][0-9]+)?$') then 'range' when regexp_matches(v, '^[0-9]+\s*[:/]\s*[0-9]+$') then 'ratio' when regexp_matches(v, '^-?[0-9]+$') then 'integer' when regexp_matches(v, '^-?[0-9]+[.,][0-9]+$') then 'decimal' when regexp_matches(v, '^[a-z]+#[0-9]+$') then 'model'
+  when regexp_matches(v, '\b(steel|copper|nickel|brass|tin)\b') then 'material' when regexp_matches(v, '\b(anodized|burnished|plated|polished|brushed)\b') then 'status' else 'text' end"""
+
+#: What a cell scores in a column: kind, and the numbers of kinds in the column as m.
+_FIT = """case when kind = 'blank' then -50 when kind = 'unreadable' then 0 when raw = 0 and cardinality(m) > 0 then -100 else raw end"""
+_RAW = """(case when coalesce(m[kind], 0) > 0 then 300 + least(200, 40 * m[kind]) else 0 end
+  + case when kind in ('numeric', 'integer', 'decimal', 'ratio', 'range') and coalesce(m['numeric'], m['integer'], m['decimal'], m['ratio'], m['range']) is not null then 150 else 0 end
+  - case when kind = 'ratio' and coalesce(m['integer'], m['temperature']) is not null then 100 when kind = 'integer' and m['ratio'] is not null then 150 when kind = 'decimal' and m['ratio'] is not null then 75 else 0 end
+  + case when kind in ('material', 'model', 'text') and coalesce(m['material'], m['model']) is not null then 100 when kind = 'status' and m['status'] is not null then 100 else 0 end)"""
+
+
+def _ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """(t, row, cells): tables of twelve parts each under a header, with cells of all kinds, some rows short at an end or at both."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    word = F.array(*[F.lit(x) for x in ("brass ", "plated ", "", "steel ", "")])
+    first = F.when(k % 13 == 0, "N/A").otherwise(F.concat(F.get(word, k % 5), "p_name"))
+    measure = F.when(k % 4 == 1, F.concat(size, F.lit(" ~ "), (F.col("p_size") + 3).cast("string"))).when(k % 17 == 0, "").when(k % 4 == 2, F.concat(size, F.lit(",5"))).otherwise(size)
+    share = F.when(k % 7 == 0, F.concat(size, F.lit(" %"))).otherwise(F.concat(F.lit("1:"), size))
+    heat = F.when(k % 24 < 12, F.concat(size, F.lit(" °C"))).when(k % 9 == 0, "brushed").otherwise(F.col("p_type"))
+    cells = F.array(first, F.replace("p_brand", F.lit("Brand"), F.lit("b")), measure, share, heat)
+    left = F.when(k % 6 == 2, 1).when(k % 10 == 3, 2).otherwise(0)
+    right = F.when(k % 8 == 5, 1).when(k % 14 == 4, 2).otherwise(0)
+    kept = F.slice(cells, left + 1, 5 - left - right)
+    body = table(spark, sf, "part").select(F.floor(k / 12).alias("t"), (k % 12 + 1).cast("int").alias("row"), F.when(k % 25 == 7, F.concat(cells, F.array(F.lit("more")))).otherwise(kept).alias("cells"))
+    head = body.select("t").distinct().select("t", F.lit(0).alias("row"), F.array(F.lit("名称"), F.lit("Model"), F.lit("Size mm"), F.lit("系数"), F.when(F.col("t") % 2 == 0, "State").otherwise("处理")).alias("cells"))
+    return body.unionByName(head)
+
+
+@query(
+    r"""
+with p as (select p_partkey as k, p_partkey // 12 as t, p_partkey % 12 + 1 as row, cast(p_size as varchar) as s, * from part),
+q as (select k, t, row, case when k % 6 = 2 then 1 when k % 10 = 3 then 2 else 0 end as l, case when k % 8 = 5 then 1 when k % 14 = 4 then 2 else 0 end as r,
+  [case when k % 13 = 0 then 'N/A' else ['brass ', 'plated ', '', 'steel ', ''][k % 5 + 1] || p_name end, replace(p_brand, 'Brand', 'b'), case when k % 4 = 1 then s || ' ~ ' || (p_size + 3) when k % 17 = 0 then '' when k % 4 = 2 then s || ',5' else s end,
+   case when k % 7 = 0 then s || ' %' else '1:' || s end, case when k % 24 < 12 then s || ' °C' when k % 9 = 0 then 'brushed' else p_type end] as full_cells from p),
+rows as (select t, row, case when k % 25 = 7 then list_append(full_cells, 'more') else full_cells[l + 1 : 5 - r] end as cells from q union all select distinct t, 0, ['名称', 'Model', 'Size mm', '系数', case when t % 2 = 0 then 'State' else '处理' end] from q),
+counted as (select t, col, kind, count(*) as n from (
+  select t, col, case when row = 0 then case col when 1 then 'material' when 2 then 'text' when 3 then 'range' when 4 then 'ratio' else case when t % 2 = 0 then 'text' else 'status' end end else """
+    + _KIND
+    + r""" end as kind
+  from (select t, row, unnest(range(1, 6)) as col, lower(trim(unnest(cells))) as v from rows where len(cells) = 5)
+  ) where kind <> 'blank' group by all),
+profiles as (select t, col, map_from_entries(list((kind, n))) as m from counted group by t, col),
+last as (select t, row, cells, max(case when row > 0 and len(cells) = 5 then row end) over (partition by t order by row rows between unbounded preceding and 1 preceding) as b from rows),
+short as (select last.t, last.row, last.cells, b, rows.cells as above from last join rows on rows.t = last.t and rows.row = b where last.row > 0 and len(last.cells) < 5),
+ways as (select t, row, cells, above, b, unnest(range(0, 6 - len(cells))) as l from short),
+each as (select w.*, col, case when col - l between 1 and len(cells) then lower(trim(cells[col - l])) end as v from ways w, range(1, 6) c(col)),
+scored as (select t, row, b, l, sum(case when v is null then case when above[col] <> '' then 35 else 0 end else fit end)::int as score from (
+    select *, """
+    + _FIT
+    + " as fit from (select *, "
+    + _RAW
+    + r""" as raw from (select e.*, coalesce(m, map {}) as m, """
+    + _KIND
+    + r""" as kind from each e left join profiles using (t, col)))) group by t, row, b, l),
+best as (select t, row, b, arg_min(l, (-score, l)) as l, max(score) as top, list(score order by score desc) as scores from scored group by t, row, b),
+fits as (select t, row, b, l from best where top >= 100 and top - scores[2] >= 200)
+select t, rows.row, case when len(rows.cells) = 5 then 'complete' when len(rows.cells) > 5 then 'cut' when l is not null then 'repaired' else 'padded' end as state, l as skipped,
+  array_to_string(case when len(rows.cells) >= 5 then rows.cells[1:5] when l is not null then list_transform(range(1, 6), lambda j: case when j - l between 1 and len(rows.cells) then rows.cells[j - l] else above.cells[j] end) else list_concat(rows.cells, list_transform(range(0, 5 - len(rows.cells)), lambda x: '')) end, '|') as cells, b as source_row
+from rows left join fits using (t, row) left join rows above on above.t = rows.t and above.row = b"""
+)
+def ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with missing cells under the columns that they fit best, what is missing taken from the last complete row."""
+    return alignment.aligned(_ragged(spark, sf), "t").withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("""
+with recursive b as (
+  select l_orderkey // 2 as page, row_number() over (partition by l_orderkey // 2 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as box,
+    (l_partkey % 24) / 25 as x0, (l_partkey % 24) / 25 + (l_quantity % 6 + 1) / 60 as x1, (l_suppkey * 7 % 30) / 31 as y0, (l_suppkey * 7 % 30) / 31 + (l_partkey % 9 + 1) / 150 as y1 from lineitem),
+r as (select page from b group by page having count(*) between 2 and 16 and bool_and(x0 >= 0 and x0 < x1 and x1 <= 1 and y0 >= 0 and y0 < y1 and y1 <= 1)),
+a(page, box, x0, x1, y0, y1, path, ax0, ay0, ax1, ay1, n, stuck) as (
+  select page, box, x0, x1, y0, y1, cast([] as integer[]), 0::double, 0::double, 1::double, 1::double, count(*) over (partition by page), false from b join r using (page)
+  union all
+  select page, box, x0, x1, y0, y1, case when axis is null then path else list_append(path, band) end,
+    case when axis = 'x' then coalesce(low, ax0) else ax0 end, case when axis = 'y' then coalesce(low, ay0) else ay0 end, case when axis = 'x' then coalesce(high, ax1) else ax1 end, case when axis = 'y' then coalesce(high, ay1) else ay1 end,
+    case when axis is null then 0 else count(*) over (partition by page, path, band) end, axis is null
+  from (select *, (prior + min(f) over (partition by page, path, band)) / 2 as low, (max(t) over (partition by page, path, band) + later) / 2 as high
+    from (select *, max(t) over (partition by page, path order by band range between unbounded preceding and 1 preceding) as prior, min(f) over (partition by page, path order by band range between 1 following and unbounded following) as later
+      from (select *, case when axis = 'y' then yb else xb end::integer as band, case when axis = 'y' then y0 else x0 end as f, case when axis = 'y' then y1 else x1 end as t
+        from (select *, case when max(yb) over (partition by page, path) > 0 then 'y' when max(xb) over (partition by page, path) > 0 then 'x' end as axis
+          from (select *, sum(yg) over (partition by page, path order by y0, box) as yb, sum(xg) over (partition by page, path order by x0, box) as xb
+            from (select *, coalesce((max(y1) over (partition by page, path order by y0, box rows between unbounded preceding and 1 preceding) <= y0)::int, 0) as yg, coalesce((max(x1) over (partition by page, path order by x0, box rows between unbounded preceding and 1 preceding) <= x0)::int, 0) as xg
+              from a where n > 1)))))))
+select page, row_number() over (partition by page order by path) as place, box, ax0 as area_x0, ay0 as area_y0, ax1 as area_x1, ay1 as area_y1 from a where n = 1 and page not in (select page from a where stuck)""")
+def reading_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """The areas of a page's boxes in reading order: rows of boxes first, columns within a row, rows within a column, and so on."""
+    line = table(spark, sf, "lineitem").withColumn("page", F.floor(F.col("l_orderkey") / 2))
+    box = F.row_number().over(Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    x0, y0 = (F.col("l_partkey") % 24) / 25, (F.col("l_suppkey") * 7 % 30) / 31
+    corners = {"x0": x0, "x1": x0 + (F.col("l_quantity") % 6 + 1) / 60, "y0": y0, "y1": y0 + (F.col("l_partkey") % 9 + 1) / 150}
+    return areas.reading_areas(line.select("page", box.alias("box"), *[c.alias(k) for k, c in corners.items()]), "page")
