@@ -13,7 +13,8 @@ AXES = ("y", "x")
 
 
 def _cut(open_: DataFrame, key: str) -> DataFrame:
-    """One round: every area is cut at all its gaps from top to bottom, or else from left to right; ``axis`` is null if there is no gap."""
+    """One round: every area is cut at all its gaps from top to bottom, or else at its first from left to right, as what is right
+    of that may have gaps from top to bottom again; ``axis`` is null if there is no gap."""
     area = Window.partitionBy(key, "path")
     for a in AXES:
         order = area.orderBy(f"{a}0", "box")
@@ -21,7 +22,7 @@ def _cut(open_: DataFrame, key: str) -> DataFrame:
         open_ = open_.withColumn("gap", gap).withColumn(f"{a}_band", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     chosen = open_.withColumn("axis", F.when(F.max("y_band").over(area) > 0, "y").when(F.max("x_band").over(area) > 0, "x"))
     pick = lambda c: F.when(F.col("axis") == "y", F.col(c.format("y"))).otherwise(F.col(c.format("x")))
-    chosen = chosen.withColumns({"band": pick("{}_band").cast("int"), "from": pick("{}0"), "to": pick("{}1")})
+    chosen = chosen.withColumns({"band": F.when(F.col("axis") == "y", F.col("y_band")).otherwise(F.least("x_band", F.lit(1))).cast("int"), "from": pick("{}0"), "to": pick("{}1")})
     bands = area.orderBy("band")
     before = F.max("to").over(bands.rangeBetween(Window.unboundedPreceding, -1))
     after = F.min("from").over(bands.rangeBetween(1, Window.unboundedFollowing))

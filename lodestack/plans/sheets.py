@@ -179,7 +179,7 @@ a(page, box, x0, x1, y0, y1, path, ax0, ay0, ax1, ay1, n, stuck) as (
     case when axis is null then 0 else count(*) over (partition by page, path, band) end, axis is null
   from (select *, (prior + min(f) over (partition by page, path, band)) / 2 as low, (max(t) over (partition by page, path, band) + later) / 2 as high
     from (select *, max(t) over (partition by page, path order by band range between unbounded preceding and 1 preceding) as prior, min(f) over (partition by page, path order by band range between 1 following and unbounded following) as later
-      from (select *, case when axis = 'y' then yb else xb end::integer as band, case when axis = 'y' then y0 else x0 end as f, case when axis = 'y' then y1 else x1 end as t
+      from (select *, case when axis = 'y' then yb else least(xb, 1) end::integer as band, case when axis = 'y' then y0 else x0 end as f, case when axis = 'y' then y1 else x1 end as t
         from (select *, case when max(yb) over (partition by page, path) > 0 then 'y' when max(xb) over (partition by page, path) > 0 then 'x' end as axis
           from (select *, sum(yg) over (partition by page, path order by y0, box) as yb, sum(xg) over (partition by page, path order by x0, box) as xb
             from (select *, coalesce((max(y1) over (partition by page, path order by y0, box rows between unbounded preceding and 1 preceding) <= y0)::int, 0) as yg, coalesce((max(x1) over (partition by page, path order by x0, box rows between unbounded preceding and 1 preceding) <= x0)::int, 0) as xg
