@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.functions.spans import balanced_object
+
 
 def role_code(c: Column) -> Column:
     """Upper case, runs of anything but letters and digits one underscore, none at the ends; ``ROLE`` if nothing is left."""
@@ -54,10 +56,10 @@ def formula_key(c: Column) -> Column:
 
 
 def json_payload(c: Column) -> Column:
-    """The JSON object in a text: all of it, what a fence holds, or the first flat object; null if none parses."""
+    """The JSON object in a text: all of it, what a fence holds, or from the first brace to the one that closes it; null if none parses."""
     whole = F.trim(c)
     fenced = F.trim(F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1))
-    first = F.regexp_extract(c, r"(\{[^{}]*\})", 1)
+    first = balanced_object(c)
     good = lambda x: F.when(F.startswith(x, F.lit("{")) & F.try_parse_json(x).isNotNull(), x)
     return F.coalesce(good(whole), good(fenced), good(first))
 
