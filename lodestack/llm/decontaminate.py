@@ -59,10 +59,10 @@ def _words(text: str) -> list[bytes]:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per distinct (id, text): id, text_hash, n_words, n_hit, items (sorted strings; null ids as "null").
+    """One row per document: id, text_hash, n_words, n_hit, items (sorted strings; null ids as "null").
 
-    Null texts have no words, hits or items; so have empty ones. Repeated documents are one row here (join by
-    ``content_key``); repeated items with other ids are all reported. No documents give no rows, no items give no hits.
+    Null texts have no words, hits or items; so have empty ones. Repeated documents are searched once and have a row each
+    (``content_key`` tells rows apart that only share an id); repeated items with other ids are all reported. No documents give no rows, no items give no hits.
     Other columns are not carried. A document with many hits is one group, which its own length bounds.
     """
     bound_batches(documents.sparkSession)
@@ -128,25 +128,26 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
             yield pa.record_batch([b.column("doc"), b.column("text_hash"), pa.array(covered, pa.int64()), list_array(np.array(names, object), np.array(offsets), pa.string())], ["d", "h", "n_hit", "items"])
 
     extended = both.select("doc", "text_hash", "t", "hits").mapInArrow(extend, f"d {doc_type}, h long, n_hit long, items array<string>")
-    every = printed.select("doc", "text_hash", "n_words").distinct()
+    every = printed.select("doc", "text_hash", "n_words")
     out = every.join(extended, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return out.select(F.col("doc").alias(id_col), "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _extend(text: str, found: list[dict], window: int) -> tuple[int, list[str]]:
     """Words covered, and the items found, of one document: each hit's run of equal words, if it holds a whole window."""
-    doc = _words(text)
+    ids: dict[bytes, int] = {}
+    numbered = lambda t: np.array([ids.setdefault(w, len(ids)) for w in _words(t)], np.int64)
+    doc = numbered(text)
     covered, names = np.zeros(len(doc), bool), set()
     for f in found:
-        item = _words(f["item_text"])
+        item = numbered(f["item_text"])
         need = min(window, len(item))
         for shift in f["shifts"]:
             lo, hi = max(0, shift), min(len(doc), shift + len(item))
-            run = lo
-            for i in range(lo, hi + 1):
-                if i == hi or doc[i] != item[i - shift]:
-                    if i - run >= need:
-                        covered[run:i] = True
-                        names.add("null" if f["item"] is None else f["item"])
-                    run = i + 1
+            same = np.concatenate([[False], doc[lo:hi] == item[lo - shift : hi - shift], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1]) + lo
+            for begin, end in zip(edges[::2], edges[1::2], strict=True):
+                if end - begin >= need:
+                    covered[begin:end] = True
+                    names.add("null" if f["item"] is None else f["item"])
     return int(covered.sum()), sorted(names)

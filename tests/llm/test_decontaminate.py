@@ -27,7 +27,9 @@ def brute(text, items, window=10):
 def compare(spark, docs, items):
     df = spark.createDataFrame([(i, t, "h", 2) for i, t in docs], "doc_id long, text string, hash string, at int")
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, item int")
-    out = {(r.doc_id, r.text_hash): (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.find(df, bench).collect()}
+    found = decontaminate.find(df, bench).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((i for i, _ in docs), key=str)  # a row each
+    out = {(r.doc_id, r.text_hash): (r.n_words, r.n_hit, list(r["items"])) for r in found}
     keys = {(r[0], r[1]): r[2] for r in df.select(*content_key(), "text").collect()}
     assert set(out) == set(keys)
     for k, text in keys.items():
