@@ -33,10 +33,8 @@ AGREE = 7
 RUNS = ((4, 0, 40), (6, 32, 1 << 30))
 #: Lines of so many characters are posted under all forms with one or two characters less, which two of up to two edits share.
 DELETED = 14
-#: Letters between the anchors at which long lines are cut for a first look, and of an anchor.
+#: Letters between the anchors at which long lines are cut for a first look, and of an anchor; if that look does not tell, the best of all alignments decides.
 PIECE, ANCHOR = 64, 16
-#: Letters that differ between the common ends, up to which the best of all alignments decides; beyond, the best that keeps the anchors.
-WHOLE = 4096
 #: Lists up to this length give all their pairs; longer ones the pairs with their first member, with CENTRES others, then what is left between components.
 SMALL_LIST = 8
 #: Further members, drawn by hash, that long lists are compared with before that, while they hold several components.
@@ -124,7 +122,7 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
         words = (F.size(p) == F.size(r)) & (changed <= most)  # so many edits do at most, word by word
         size = F.least(F.length(q["x"]), F.length(q["y"]))
         anchored = F.when(size > 2 * PIECE, _pieces(q["x"], q["y"], most) <= most).otherwise(False)
-        return F.when(sure, True).when(words, True).when(anchored, True).when(size > WHOLE, False).otherwise(edits(q, most) >= 0)
+        return F.when(sure, True).when(words, True).when(anchored, True).otherwise(edits(q, most) >= 0)
 
     def middles(s: Column, h: Column) -> Column:
         turned = F.struct(F.reverse(s["x"]).alias("x"), F.reverse(s["y"]).alias("y"), (s["least"] - h).alias("least"))
