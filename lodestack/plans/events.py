@@ -73,9 +73,20 @@ def lease_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folds.leases(e, minutes=240)
 
 
-@query()
+CACHES_SQL = """
+with e as (select user_id as cache, epoch_us(ts) as t, event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+l as (select cache, list({'k': k, 't': t, 'e': []::struct(k bigint, t bigint)[], 'h': 0::bigint, 'm': 0::bigint, 'v': 0::bigint} order by t, event_id) as l from e group by cache),
+f as (select cache, list_reduce(list_concat([{'k': 0::bigint, 't': 0::bigint, 'e': []::struct(k bigint, t bigint)[], 'h': 0::bigint, 'm': 0::bigint, 'v': 0::bigint}], l), lambda s, x:
+  case when len(list_filter(s.e, lambda y: y.k = x.k and x.t - y.t <= 86400000000)) > 0 then {'k': 0::bigint, 't': 0::bigint, 'e': s.e, 'h': s.h + 1, 'm': s.m, 'v': s.v}
+    when len(list_filter(s.e, lambda y: y.k = x.k)) > 0 then {'k': 0::bigint, 't': 0::bigint, 'e': list_append(list_filter(s.e, lambda y: y.k <> x.k), {'k': x.k, 't': x.t}), 'h': s.h, 'm': s.m + 1, 'v': s.v}
+    when len(s.e) >= 20 then {'k': 0::bigint, 't': 0::bigint, 'e': list_append(s.e[2:], {'k': x.k, 't': x.t}), 'h': s.h, 'm': s.m + 1, 'v': s.v + 1}
+    else {'k': 0::bigint, 't': 0::bigint, 'e': list_append(s.e, {'k': x.k, 't': x.t}), 'h': s.h, 'm': s.m + 1, 'v': s.v} end) as s from l)
+select cache, s.h as hits, s.m as misses, s.v as evictions from f"""
+
+
+@query(CACHES_SQL)
 def ttl_cache_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits, misses and evictions of a cache per user, folded in event order (sequential state, no SQL form)."""
+    """Hits, misses and evictions of a cache per user, folded in event order."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("cache"), "ts", "event_id", _k().alias("key"))
     return folds.ttl_caches(e, seconds=86_400, size=20)
 
