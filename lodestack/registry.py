@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestack.plans import documents, events, layout, ledgers, operations, passages, relational, rules, sheets, states  # noqa: E402,F401  they register their queries
+from lodestack.plans import contracts, documents, events, layout, ledgers, operations, passages, relational, rules, sheets, states  # noqa: E402,F401  they register their queries
