@@ -50,16 +50,26 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?s)<!--.*?-->", " "), "<[^>]*>", " "), "[ \\t\\n\\r]+", " "))
 
 
-#: Whole lines that go with their break: numbers of pages between dashes, standard numbers with their year, lines with an
-#: address, and single letters of formulas. Written for a whole text, so that lines need not be looked at one by one.
-NOISE_LINE = r"(?:[ —–-]*[0-9]{1,4}[ —–-]*|[A-Z/ ]{1,10}[0-9.]+ ?[—–-] ?(?:19|20)[0-9]{2} *|.*(?i:https?:|www[.]).*| *[Ttpση=] *)"
-#: What goes from within a line: brackets around nothing, and page numbers between dashes.
-NOISE_WITHIN = r"\[ *\]|[—–-] *[0-9]{1,4} *[—–-]"
+#: Whole lines that go with their break: numbers of pages between dashes, standard numbers with their year, and single letters
+#: of formulas; and lines with an address. Written for a whole text, so that lines need not be looked at one by one.
+PLAIN_NOISE = r"[ —–-]*[0-9]{1,4}[ —–-]*|[A-Z/ ]{1,10}[0-9.]+ ?[—–-] ?(?:19|20)[0-9]{2} *| *[Ttpση=] *"
+LINKED_NOISE = r".*(?i:https?:|www[.]).*"
+NOISE_LINE = f"(?:{PLAIN_NOISE}|{LINKED_NOISE})"
+# What goes from within a line, brackets around nothing and page numbers between dashes.
+INLINE = [r"\[\s*\]", r"[—-]\s*\d{1,4}\s*[—-]"]
+#: The same on a text of many lines, in which white space does not reach over a line's end.
+NOISE_WITHIN = "|".join(INLINE).replace(r"\s", r"[^\S\n]")
 
 
 def clean_lines(text: Column) -> Column:
-    """Noise lines and noise within lines dropped, runs of spaces one space, three or more line breaks two, none at the ends."""
-    kept = F.regexp_replace(F.regexp_replace(text, f"(?md)^{NOISE_LINE}$\\n?", ""), NOISE_WITHIN, "")
+    """Noise lines and noise within lines dropped, runs of spaces one space, three or more line breaks two, none at the ends.
+
+    Only texts that hold an address at all are searched for lines with one, as that search tries every place.
+    """
+    low = F.lower(text)
+    linked = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www."))
+    lines = F.when(linked, F.regexp_replace(text, f"(?md)^{NOISE_LINE}$\\n?", "")).otherwise(F.regexp_replace(text, f"(?md)^(?:{PLAIN_NOISE})$\\n?", ""))
+    kept = F.regexp_replace(lines, NOISE_WITHIN, "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, " {2,}", " "), "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions import marks as M
 from lodestack.functions import spans
 from lodestack.operators import mentions
 from lodestack.registry import query, table
@@ -87,3 +88,32 @@ def name_relations(spark: SparkSession, sf: str) -> DataFrame:
     names = F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9._-])[a-z0-9._-]{3,}"), F.lit(0))
     pairs = texts.select("doc_id", F.get(names, F.lit(0)).alias("a"), F.get(names, F.lit(3)).alias("b")).where("b is not null")
     return mentions.relations(texts, pairs, "doc_id").withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@query(r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) + doc_id as k from documents),
+m as (select doc_id, trim(case k % 11 when 0 then 'GB/T 150.' || (k % 7) || '—20' || (10 + k % 80) when 1 then 'TSG ' || (k % 99) || ' - 2009 ' || x when 2 then ' ' || (k % 12000) || ' ' when 3 then '- ' || (k % 999) || ' —' when 4 then '[Figure: ' || case when k % 2 = 0 then 'Watermark' else 'pump' end || '] ' || x
+    when 5 then x || ' HTTPS://a.b' when 6 then case when k % 3 = 0 then 'T σ' when k % 3 = 1 then 'σ／σ' else 'Tp' end when 7 then '' else x end, ' ') as t from l)
+select doc_id, kind, count(*) as n from (
+  select doc_id, case when regexp_matches(t, '^[A-Z]{1,6}\s*/?\s*[A-Z]?\s*\d+(?:\.\d+)?\s*[—-]\s*\d{4}$|^(?:[A-Z]{1,6}\s*/?\s*[A-Z]?\s*\d+(?:\.\d+)?|TSG\s*\d+)\s*[—-]\s*\d{4}\b|^\d{1,4}$|^[—-]\s*\d{1,4}\s*[—-]$') then 'header'
+    when contains(lower(t), '[figure:') and regexp_matches(lower(t), 'watermark|overlay|logo|seal|stamp|背景水印|水印|table with|table of|tabular data') then 'figure'
+    when regexp_matches(lower(t), 'http://|https://|www[.]|aqsiq[.]gov[.]cn|国家质监监督检验检疫总局') then 'text' when regexp_replace(t, '\s+', '', 'g') in ('T', 't', 'p', 'σ', 'η', '=', 'Tσ', 'tσ', 'pσ', 'σ／σ') then 'formula' end as kind from m)
+where kind is not null group by all""")
+def noise_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """How many lines of each text are noise, by kind; lines of all kinds are set among the text's own."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    k, x = F.col("i") + 1 + F.col("doc_id"), F.col("x")
+    n = lambda c: c.cast("string")
+    at = lambda i: k % 11 == i
+    line = (
+        F.when(at(0), F.concat(F.lit("GB/T 150."), n(k % 7), F.lit("—20"), n(10 + k % 80)))
+        .when(at(1), F.concat(F.lit("TSG "), n(k % 99), F.lit(" - 2009 "), x))
+        .when(at(2), F.concat(F.lit(" "), n(k % 12000), F.lit(" ")))
+        .when(at(3), F.concat(F.lit("- "), n(k % 999), F.lit(" —")))
+        .when(at(4), F.concat(F.lit("[Figure: "), F.when(k % 2 == 0, "Watermark").otherwise("pump"), F.lit("] "), x))
+        .when(at(5), F.concat(x, F.lit(" HTTPS://a.b")))
+        .when(at(6), F.when(k % 3 == 0, "T σ").when(k % 3 == 1, "σ／σ").otherwise("Tp"))
+        .when(at(7), "")
+        .otherwise(x)
+    )
+    return lines.select("doc_id", M.noise_kind(line).alias("kind")).where("kind is not null").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
