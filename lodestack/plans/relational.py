@@ -150,13 +150,13 @@ def graph_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select n_name, cast(count(c_custkey) as bigint) as n_evidence, min(c_custkey) as first_evidence, max(c_custkey) as last_evidence
-from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 5000 group by n_name""")
+select n_name, c_custkey as evidence, count(c_custkey) over (partition by n_nationkey) as n_evidence, row_number() over (partition by n_nationkey order by c_custkey) as place
+from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 5000""")
 def evidence_attach(spark: SparkSession, sf: str) -> DataFrame:
-    """Each subject with the number of its evidence and the ends of its ids: sizes that do not grow with a subject."""
-    found = table(spark, sf, "customer").where("c_acctbal > 5000").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_evidence"), F.max("c_custkey").alias("last_evidence"))
-    rows = table(spark, sf, "nation").join(found, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return rows.select("n_name", F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"), "first_evidence", "last_evidence")
+    """Each subject with all ids of its evidence, in order, as rows, and their number; a subject without evidence has a row without an id."""
+    subjects = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    evidence = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("evidence"))
+    return graph.attached(subjects, evidence, "n_nationkey", "evidence").select("n_name", "evidence", "n_evidence", "place")
 
 
 @query("""
