@@ -24,6 +24,9 @@ MIN_VALUE = 6
 SAMPLE_DOCUMENTS = 4000
 #: Mean log-likelihood ratio of a character pair, in nats, from which a token counts as random.
 THRESHOLD = 0.7
+#: Pairs with a letter that a token needs to be judged. Only they count: digits and signs side by side look random in any text, so
+#: dates, times and numbers of any length would pass for secrets.
+LETTER_PAIRS = 8
 #: Weight of a single character's probability in that of a pair.
 PRIOR = 4.0
 
@@ -88,8 +91,8 @@ def train(samples: DataFrame) -> list[float]:
 def scan(documents: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id, ``base`` and ``found`` spans (start, kind, end; code points, end exclusive).
 
-    ``found`` holds the base spans and tokens of 20 or more characters, outside of all base spans, whose mean ratio over
-    character pairs is at least ``threshold``. A null text counts as empty and has no spans. Repeated rows each get a row;
+    ``found`` holds the base spans and tokens of 20 or more characters, outside of all base spans, with LETTER_PAIRS pairs of
+    characters of which one is a letter at least, whose mean ratio over those pairs is at least ``threshold``. A null text counts as empty and has no spans. Repeated rows each get a row;
     other columns are not carried.
     """
     text = F.col("t")
@@ -101,8 +104,16 @@ def scan(documents: DataFrame, ratios: list[float], threshold: float = THRESHOLD
     def is_random(s: Column) -> Column:
         w = F.substring(text, s["start"] + 1, s["end"] - s["start"])
         pairs = F.sequence(F.lit(1), F.length(w) - 1)
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(table, F.ascii(F.substring(w, i, F.lit(1))) * 128 + F.ascii(F.substring(w, i + 1, F.lit(1)))))
-        return total >= threshold * (F.length(w) - 1)
+        code = lambda i: F.ascii(F.substring(w, i, F.lit(1)))
+        letter = lambda c: c.between(65, 90) | c.between(97, 122)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+        def add(acc: Column, i: Column) -> Column:
+            counts = letter(code(i)) | letter(code(i + 1))
+            ratio = F.get(table, code(i) * 128 + code(i + 1))
+            return F.struct((acc["sum"] + F.when(counts, ratio).otherwise(0.0)).alias("sum"), (acc["n"] + counts.cast("int")).alias("n"))
+
+        return F.aggregate(pairs, start, add, lambda acc: (acc["n"] >= LETTER_PAIRS) & (acc["sum"] >= threshold * acc["n"]))
 
     outside = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return rows.select(id_col, "base", F.array_sort(F.concat("base", F.filter(outside, is_random))).alias("found"))
