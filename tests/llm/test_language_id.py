@@ -73,3 +73,43 @@ def test_foreign_and_junk_texts_go_and_clean_ones_stay(spark):
     clean = docs.where("length(text) > 0").crossJoin(spark.createDataFrame([(5,), (12,), (100_000,)], "kind int")).select("kind", F.array_join(F.slice(F.split("text", " +"), 1, F.col("kind")), " ").alias("text"))
     good = dict(rejected(clean))
     assert good[100_000] <= 0.005 and good[12] <= 0.02 and good[5] <= 0.02
+
+
+def by_hand(model, text):
+    """Language, score and rejection of a text, trigram by trigram, against each centroid in turn."""
+    import math
+    import re
+
+    if not re.search(r"[^\W\d_]", text or ""):
+        return language_id.UNDETERMINED, 0.0, True
+    low = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    padded, counts = b" " + low + b" ", {}
+    for i in range(len(padded) - 2):
+        a, b, c = padded[i : i + 3]
+        if (a, b) != (32, 32):
+            k = ((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 20
+            counts[k] = counts.get(k, 0) + 1
+    weights = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values())) or 1
+    cosines = [sum(w * float(c[k]) for k, w in weights.items()) / norm for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda j: cosines[j])  # the first of equals
+    score = min(1.0, max(0.0, cosines[best]))
+    return model.langs[best], score, score < model.floors[best] * math.sqrt(min(1, len(counts) / language_id.FULL_TRIGRAMS))
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    texts = [r.text for r in docs.collect()] + [None, "", "12 3", "x", "日本語", "A b", "\x00é", "zzzz qqqq", "the " * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("i", "t", model.predict(F.col("t")).alias("p")).collect():
+        lang, score, rejected = by_hand(model, r.t)
+        assert (r.p.lang, r.p.rejected) == (lang, rejected), r.t
+        assert abs(r.p.score - score) < 1e-4
+
+
+def test_equal_centroids_give_the_first_language_and_copies_the_same_answer(spark):
+    docs = spark.createDataFrame([("same words here", x) for x in ("bb", "aa", "cc", "aa")], "text string, lang string")
+    model = language_id.fit(docs)
+    rows = spark.createDataFrame([("same words here",)] * 5, "t string").select(model.predict(F.col("t")).alias("p")).collect()
+    assert {r.p.lang for r in rows} == {"aa"} and len({r.p.score for r in rows}) == 1
