@@ -67,3 +67,55 @@ def quotation(text: Column, quote: Column) -> Column:
     ends = F.struct(F.trim(F.split_part(quote, mark, F.lit(1))).alias("head"), F.trim(F.split_part(quote, mark, F.lit(-1))).alias("tail"))
     bounded = _let(ends, lambda x: F.when((F.length(x["head"]) < LEAST_END) | (F.length(x["tail"]) < LEAST_END), nothing).otherwise(judge(x)))
     return F.when(text.isNull() | quote.isNull() | (quote == ""), nothing).when(F.contains(text, quote), exact).when(marks == 1, bounded).otherwise(nothing)
+
+
+# Signs that open and close formulas, and what closes which.
+MATH_SIGN = r"(?<!\\)(?:\$\$|\$|\\[\[\]()]|\\(?:begin|end)\{[^{}]+\})"
+CLOSERS = {"$": "$", "$$": "$$", r"\[": r"\]", r"\(": r"\)"}
+_SPAN = "array<struct<start:int,end:int,complete:boolean>>"
+
+
+def math_spans(text: Column) -> Column:
+    """array of (start, end, complete): the formulas of a text from the outside, start from 0, end exclusive.
+
+    Environments nest; within a formula only environments open anew. What is never closed is a span to the text's end that
+    is not complete. Null has none. One walk over the signs, with those that are still to come as a stack.
+    """
+
+    def scan(s: Column) -> Column:
+        steps = F.zip_with(F.split(s, MATH_SIGN, -1), F.regexp_extract_all(s, F.lit(MATH_SIGN), F.lit(0)), lambda piece, sign: F.named_struct(F.lit("gap"), F.length(piece), F.lit("sign"), F.coalesce(sign, F.lit(""))))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<string>").alias("open"), F.array().cast(_SPAN).alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            end = begin + F.length(x["sign"])
+            depth = F.size(acc["open"])
+            closes = (depth > 0) & (x["sign"] == F.get(acc["open"], depth - 1))
+            plain = F.create_map(*[F.lit(v) for pair in CLOSERS.items() for v in pair])
+            closer = F.when(F.startswith(x["sign"], F.lit(r"\begin{")), F.concat(F.lit(r"\end"), F.substring(x["sign"], F.lit(7), F.length(x["sign"])))).when(depth == 0, F.try_element_at(plain, x["sign"]))
+            opens = ~closes & closer.isNotNull()
+            stack = F.when(closes, F.slice(acc["open"], F.lit(1), F.greatest(depth - 1, F.lit(0)))).when(opens, F.array_append(acc["open"], closer)).otherwise(acc["open"])
+            span = F.named_struct(F.lit("start"), acc["begin"], F.lit("end"), end, F.lit("complete"), F.lit(True))
+            found = F.when(closes & (depth == 1), F.array_append(acc["found"], span)).otherwise(acc["found"])
+            return F.named_struct(F.lit("at"), end, F.lit("begin"), F.when(opens & (depth == 0), begin).otherwise(acc["begin"]), F.lit("open"), stack, F.lit("found"), found)
+
+        tail = lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["found"], F.named_struct(F.lit("start"), acc["begin"], F.lit("end"), F.length(s), F.lit("complete"), F.lit(False)))).otherwise(acc["found"])
+        return F.aggregate(steps, start, step, tail)
+
+    return _let(F.coalesce(text, F.lit("")), scan)
+
+
+def math_contents(text: Column, spans: Column) -> Column:
+    """What the complete formulas hold, without the signs around them; environments keep theirs."""
+
+    def inner(s: Column) -> Column:
+        whole = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        width = F.when(F.regexp_like(whole, F.lit(r"^(?:\$\$|\\[\[(])")), 2).when(F.startswith(whole, F.lit("$")), 1).otherwise(0)
+        return strip(F.substring(whole, width + 1, F.length(whole) - 2 * width))
+
+    return F.transform(F.filter(spans, lambda s: s["complete"]), inner)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

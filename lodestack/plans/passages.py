@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import marks as M
 from lodestack.functions import spans
-from lodestack.operators import mentions
+from lodestack.operators import mentions, sections
 from lodestack.registry import query, table
 
 
@@ -117,3 +117,42 @@ def noise_lines(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(x)
     )
     return lines.select("doc_id", M.noise_kind(line).alias("kind")).where("kind is not null").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def calculation_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections and items of texts with formulas among their lines, each with the offsets that cut it from its text."""
+    k, x = lambda i: (F.col("doc_id") + i) % 9, lambda t: F.translate(t, "$\\#", "")
+
+    def line(t: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return (
+            F.when((k(i) == 0) & (F.col("doc_id") % 2 == 0), F.concat(F.lit("## "), F.substring(x(t), 1, 20)))
+            .when(k(i) == 1, F.concat(F.lit("$x_"), n, F.lit(" = a$ $$y$$  ")))
+            .when(k(i) == 2, F.concat(F.lit("Note: "), x(t)))
+            .when(k(i) == 3, F.concat(F.lit(" \\begin{align} a_"), n, F.lit(" &= \\$1 ")))
+            .when(k(i) == 4, F.lit("b \\end{align}"))
+            .when(k(i) == 5, "Density — mass per volume")
+            .when(k(i) == 6, F.concat(F.lit("Label "), n))
+            .otherwise(x(t))
+        )
+
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return sections.sections(table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id")
+
+
+@query("""
+with d as (select doc_id, string_split(text, chr(10)) as w from documents),
+l as (select doc_id, generate_subscripts(w, 1) as i, case (doc_id + generate_subscripts(w, 1)) % 5 when 0 then '' when 1 then '  ' || translate(unnest(w), '$' || chr(92), '') || ' ' when 2 then '   ' else translate(unnest(w), '$' || chr(92), '') end as line from d),
+p as (select *, trim(line) as kept, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from l),
+k as (select *, pos + length(line) - length(ltrim(line)) as source, coalesce(sum(length(kept) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as place from p where kept <> '')
+select doc_id, place::bigint as place, source::bigint as source, length(kept) as length, kept as text from k""")
+def tidy_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without white space at the ends of lines, and where each line of them stands in the text that was given."""
+    k = lambda i: (F.col("doc_id") + i + 1) % 5
+    plain = lambda t: F.translate(t, "$\\", "")
+    line = lambda t, i: F.when(k(i) == 0, "").when(k(i) == 1, F.concat(F.lit("  "), plain(t), F.lit(" "))).when(k(i) == 2, "   ").otherwise(plain(t))
+    given = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    tidy, mapped = sections.tidied(given, "doc_id")
+    cut = mapped.join(tidy, "doc_id").withColumn("text", F.substring(F.col("text"), F.col("place") + 1, F.col("length")))
+    return cut.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "source", "length")], "text")
