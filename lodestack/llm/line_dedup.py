@@ -37,6 +37,8 @@ DELETED = 14
 PIECE, ANCHOR = 64, 16
 #: Lists up to this length give all their pairs; longer ones the pairs with their first member, with CENTRES others, then what is left between components.
 SMALL_LIST = 8
+#: Characters of all lines of a round's pairs up to which these lines are broadcast: many pairs may be of few lines.
+BROADCAST_TEXT = 8_000_000
 #: Further members, drawn by hash, that long lists are compared with before that, while they hold several components.
 CENTRES = 3
 
@@ -52,7 +54,7 @@ def _less(text: Column) -> Column:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(line, kind, n, signature): the MinHash coordinates of each class, by kind of features, with its length.
+    """(line, kind, n, often, signature): the MinHash coordinates of each class, by kind of features, with its length and how often it occurs.
 
     All occurrences of a class have the same features, which changes no minimum, so minima are taken where lines are read and
     only they are shuffled.
@@ -62,21 +64,21 @@ def _signed(lines: DataFrame) -> DataFrame:
     pairs = _let(F.split(normal, " "), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w) - 1), lambda x, y: F.xxhash64(x, y)))  # the last word counts alone, too
     runs = lambda k: F.transform(F.when(n < k, F.array(normal)).otherwise(F.regexp_extract_all(normal, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))), lambda x: F.xxhash64(x))
     kinds = [(words >= PAIRED, pairs)] + [((words < FEW_WORDS) & n.between(least, most), runs(k)) for k, least, most in RUNS]
-    made = [lines.where(of).select("line", "n", F.lit(i).alias("kind"), F.explode_outer(h).alias("h")) for i, (of, h) in enumerate(kinds)]  # outer: else the array is made twice, to see whether it is empty
+    made = [lines.where(of).select("line", "n", F.lit(i).alias("kind"), F.posexplode_outer(h).alias("i", "h")) for i, (of, h) in enumerate(kinds)]  # outer: else the array is made twice, to see whether it is empty
     features = reduce(DataFrame.unionByName, made)
-    least = features.groupBy("line", "kind").agg(F.first("n").alias("n"), *[F.min(F.hash("h", F.lit(j))).alias(f"m{j}") for j in range(BANDS * ROWS)])
-    return least.select("line", "kind", "n", F.array(*[f"m{j}" for j in range(BANDS * ROWS)]).alias("signature"))
+    least = features.groupBy("line", "kind").agg(F.first("n").alias("n"), F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("often"), *[F.min(F.hash("h", F.lit(j))).alias(f"m{j}") for j in range(BANDS * ROWS)])
+    return least.select("line", "kind", "n", "often", F.array(*[f"m{j}" for j in range(BANDS * ROWS)]).alias("signature"))
 
 
 def _posted(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """(key, line, n, signature): each class under the keys of its bands; very short ones under those of their shorter forms, too."""
+    """(key, line, n, often, signature): each class under the keys of its bands; very short ones under those of their shorter forms, too."""
     normal, n = F.col("normal"), F.col("n")
     bands = F.array(*[F.xxhash64("kind", F.lit(b), *[F.get("signature", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
-    banded = signed.select(F.explode(bands).alias("key"), "line", "n", "signature")
-    tiny = lines.where(n <= DELETED).select("line", "normal", "n").distinct()
+    banded = signed.select(F.explode(bands).alias("key"), "line", "n", "often", "signature")
+    tiny = lines.where(n <= DELETED).groupBy("line", "normal", "n").agg(F.count("*").alias("often"))
     once = _less(normal)
     forms = F.concat(F.array(normal), once, F.when(n > 9, F.flatten(F.transform(once, _less))).otherwise(F.array().cast("array<string>")))
-    deleted = tiny.select(F.explode(F.array_distinct(F.transform(forms, lambda x: F.xxhash64(F.lit("less"), x)))).alias("key"), "line", "n", F.lit(None).cast("array<int>").alias("signature"))
+    deleted = tiny.select(F.explode(F.array_distinct(F.transform(forms, lambda x: F.xxhash64(F.lit("less"), x)))).alias("key"), "line", "n", "often", F.lit(None).cast("array<int>").alias("signature"))
     return banded.unionByName(deleted)
 
 
@@ -141,9 +143,14 @@ def _lengths(x: Column, y: Column, percent: int) -> Column:
 
 def _similar(pairs: DataFrame, normal: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose normal forms are alike."""
-    named = lambda c: normal.select(F.col("line").alias(c), F.col("normal").alias(f"{c}_text"))
-    # the second join's shuffle keeps its number of tasks: alignment takes long on few bytes, which AQE would put into few tasks
-    both = pairs.join(named("a"), "a").repartition(partitions(pairs.sparkSession), "b").join(named("b"), "b")
+    few = (normal.agg(F.sum(F.length("normal"))).first()[0] or 0) <= BROADCAST_TEXT
+    named = lambda c: (F.broadcast if few else lambda df: df)(normal.select(F.col("line").alias(c), F.col("normal").alias(f"{c}_text")))
+    # work is dealt anew before texts meet, and keeps its number of tasks: alignment takes long on few bytes, which AQE would put into few tasks
+    n = partitions(pairs.sparkSession)
+    if few:
+        both = pairs.repartition(n, "a", "b").join(named("a"), "a").join(named("b"), "b")
+    else:
+        both = pairs.join(named("a"), "a").repartition(n, "b").join(named("b"), "b")
     return both.where(_lengths(F.length("a_text"), F.length("b_text"), percent)).where(_alike(F.col("a_text"), F.col("b_text"), percent)).select("a", "b")
 
 
@@ -161,11 +168,15 @@ def _agree(x: Column, y: Column) -> Column:
 
 
 def _pairs(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), and (key, line, n, signature) of the long lists."""
+    """Candidate pairs (a, b), and (key, line, n, signature) of the long lists.
+
+    A long list's centre is its most frequent line: what others are edited copies of stands there more often than any of them, and is
+    nearer to all of them than they are to each other.
+    """
     shared = materialize(posted.groupBy("key").count().where("count > 1").select("key"), "shared")
     met = materialize(posted.join(small(shared, BROADCAST_ROWS), "key"), "met")
     member = F.struct("line", "n", "signature")
-    lists = met.groupBy("key").agg(F.count("*").alias("size"), F.min(member).alias("centre"))
+    lists = met.groupBy("key").agg(F.count("*").alias("size"), F.max_by(member, F.struct("often", "line")).alias("centre"))
     listed = materialize(met.join(lists, "key"), "listed")
     few = listed.where(F.col("size") <= SMALL_LIST).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("c"))
     fits = lambda x, y: _lengths(x["n"], y["n"], percent) & _agree(x["signature"], y["signature"])
