@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import schemas
+from lodestack.operators import executors, schemas, trees
 from lodestack.registry import query, table
 
 _NUMBERED = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
@@ -102,3 +102,63 @@ def form_field_issues(spark: SparkSession, sf: str) -> DataFrame:
     form = F.concat(F.lit('[{"id":"g","type":"'), group, F.lit('","label":"G","children":['), tab, F.lit("]},"), F.col("first"), F.lit("]"))
     found = schemas.field_issues(forms.select("l_orderkey", form.alias("form")), "l_orderkey", "form", strict=True)
     return found.groupBy("l_orderkey", "place", "field", "issue").agg(F.count("*").alias("n"))
+
+
+@query("""
+with t as (select c_custkey as task, c_nationkey as n, ['static', 'form_driven', 'dynamic', 'queue_claim', 'automation', 'other', 'static'][c_custkey % 7 + 1] as p, c_custkey // 7 as k, c_mktsegment as segment, c_name as name from customer),
+s as (select s_nationkey as n, s_suppkey, s_name from supplier),
+a as (select n, 'role' as kind, 'R' || s_suppkey % 4 as name from s union select n, 'member', s_name from s union select n, 'member', cast(s_suppkey as varchar) from s union select n, 'tool', 'T' || s_suppkey % 3 from s where s_suppkey % 2 = 0 union select n_nationkey, 'department', r_name from nation join region on r_regionkey = n_regionkey where n_nationkey % 5 <> 0 union select n, 'form_field', 'F' || s_suppkey % 5 from s where s_suppkey % 3 = 0),
+c as (select *, ['role', 'department', 'member', 'robot', ''][k % 5 + 1] as type, 'R' || k % 6 as role, (select r_name from nation join region on r_regionkey = n_regionkey where n_nationkey = k % 25) as dept, case when k % 2 = 0 then cast(k % 120 as varchar) else 'Supplier#' || lpad(cast(k % 120 as varchar), 9, '0') end as member from t),
+d as (select *, case p
+    when 'static' then case when type = '' then ['missing_type'] when k % 11 = 0 then ['missing_value'] when type = 'robot' then ['unknown_type'] when type = 'role' then [null, 'role', role] when type = 'department' then [null, 'department', dept] else [null, 'member', member] end
+    when 'form_driven' then case when k % 9 = 0 then ['missing_form_field'] else [null, 'form_field', 'F' || k % 7] end
+    when 'dynamic' then case when k % 9 = 0 then ['missing_mcp_tool'] else [null, 'tool', 'T' || k % 4] end
+    when 'queue_claim' then case when type = '' then ['missing_claim_group'] when k % 11 = 0 then ['missing_group_name'] when type = 'role' then [null, 'role', role] when type = 'department' then [null, 'department', dept] else ['unknown_claim_group'] end
+    when 'automation' then case when k % 8 = 0 then ['missing_automation_type'] when k % 8 = 1 then ['unknown_automation_type'] when k % 8 in (2, 3, 4) then case when k % 9 = 0 then ['missing_mcp_tool_name'] else [null, 'tool', 'T' || k % 4] end else case when k % 9 = 0 then ['missing_virtual_member_name'] else ['valid'] end end
+    else ['unknown_pattern'] end as w from c)
+select task, p as pattern, case when w[1] is not null then w[1] when exists (select 1 from a where a.n = d.n and a.kind = w[2] and a.name = w[3]) then 'valid' when exists (select 1 from a where a.n = d.n and a.kind = w[2]) then 'not_found' else 'none_given' end as verdict from d""")
+def executor_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether what the tasks' executor configurations name is there, for all five patterns, and what is wrong with those where it is not."""
+    customer, supplier, nation, region = (table(spark, sf, t) for t in ("customer", "supplier", "nation", "region"))
+    key = F.col("c_custkey")
+    k = F.floor(key / 7)
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    named = lambda letter, n: F.concat(F.lit(letter), (k % n).cast("string"))
+    areas = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("n"), F.col("r_name").alias("area"))
+    number = (k % 120).cast("string")
+    kind = pick(["role", "department", "member", "robot", ""], k % 5)
+    what = F.when(kind == "role", named("R", 6)).when(kind == "department", F.col("area")).otherwise(F.when(k % 2 == 0, number).otherwise(F.concat(F.lit("Supplier#"), F.lpad(number, 9, "0"))))
+    auto = pick(["", "x", "mcp_tool", "mcp_tool", "mcp_tool", "virtual_member", "virtual_member", "virtual_member"], k % 8)
+    unless = lambda n, value: F.when(k % n == 0, "").otherwise(value)
+    fields = {"type": kind, "value": unless(11, what), "form_field": unless(9, named("F", 7)), "mcp_tool": unless(9, named("T", 4)), "claim_group": kind, "group_name": unless(11, what), "automation_type": auto, "mcp_tool_name": unless(9, named("T", 4)), "virtual_member_name": unless(9, F.lit("V"))}
+    config = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+    tasks = customer.join(areas.withColumnRenamed("n", "area_of"), k % 25 == F.col("area_of")).select("c_nationkey", key.alias("task"), pick([*executors.PATTERNS, "other", "static"], key % 7).alias("pattern"), config.alias("config"))
+    s = F.col("s_suppkey")
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    some = lambda cond, kind, name: entry(kind, F.when(cond, name))
+    text = lambda letter, n: F.concat(F.lit(letter), (s % n).cast("string"))
+    entries = F.array(entry("role", text("R", 4)), entry("member", F.col("s_name")), entry("member", s.cast("string")), some(s % 2 == 0, "tool", text("T", 3)), some(s % 3 == 0, "form_field", text("F", 5)))
+    there = supplier.select(F.col("s_nationkey").alias("c_nationkey"), F.inline(entries)).unionByName(areas.where("n % 5 <> 0").select(F.col("n").alias("c_nationkey"), F.lit("department").alias("kind"), F.col("area").alias("name")))
+    return executors.checked(tasks, there, "c_nationkey").select("task", "pattern", "verdict")
+
+
+@query("""
+with d as (select conv_id, turn, lower(text || case (conv_id + turn) % 6 when 0 then ' Choose a reviewer' when 1 then ' Route BASED ON amount' when 2 then ' first available' when 3 then ' validate the sum' else '' end) as t from conversations)
+select conv_id, turn, pattern, confidence from d, (values ('form_driven', 0.8::double, 'select|choose|user|decide'), ('dynamic', 0.85, 'route|based on|if|condition'), ('queue_claim', 0.75, 'team|any|available|first'), ('automation', 0.7, 'automatic|check|validate|compute'), ('static', 0.5, '')) s(pattern, confidence, words) where regexp_matches(t, words)""")
+def executor_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """The patterns that the words of each turn suggest, and how sure that is."""
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    more = F.when(k == 0, " Choose a reviewer").when(k == 1, " Route BASED ON amount").when(k == 2, " first available").when(k == 3, " validate the sum").otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.inline(executors.suggested(F.concat("text", more))))
+
+
+@query("""
+with recursive n as (select c_custkey as id, case when c_custkey >= 5 then c_custkey // 3 end as parent from customer),
+w(root, id, path) as (select id, id, [id] from n where id < 5 union all select root, n.id, list_append(path, n.id) from w join n on n.parent = w.id where not list_contains(path, n.id)),
+p as (select *, row_number() over (partition by root order by path) as place, count(*) over (partition by root) as total from w)
+select root, place, id, (len(path) - 1)::bigint as depth, total, total > 60 as truncated from p where place <= 60""")
+def org_charts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 60 nodes of charts of any depth, each before its children, and whether there are more."""
+    key = F.col("c_custkey")
+    nodes = table(spark, sf, "customer").select(key.alias("id"), F.when(key >= 5, F.floor(key / 3)).alias("parent"))
+    return trees.preorder(nodes, nodes.where("id < 5").select(F.col("id").alias("root")), 60)
