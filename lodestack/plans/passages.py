@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import marks as M
 from lodestack.functions import spans
-from lodestack.operators import mentions, sections
+from lodestack.operators import mentions, sections, splices
 from lodestack.registry import query, table
 
 
@@ -156,3 +156,39 @@ def tidy_map(spark: SparkSession, sf: str) -> DataFrame:
     tidy, mapped = sections.tidied(given, "doc_id")
     cut = mapped.join(tidy, "doc_id").withColumn("text", F.substring(F.col("text"), F.col("place") + 1, F.col("length")))
     return cut.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "source", "length")], "text")
+
+
+@query("""
+with d as (select doc_id, text, length(text) as n from documents),
+e as (select doc_id, unnest([{'s': n // 3, 'e': n // 3 + 5, 'no': 2, 'w': ''}, {'s': n // 3, 'e': n // 3, 'no': 1, 'w': '['}, {'s': n // 3, 'e': n // 3, 'no': 7, 'w': ']'}, {'s': n // 2, 'e': n // 2 + 7, 'no': 3, 'w': doc_id::varchar}, {'s': n // 2 + 3, 'e': n // 2 + 9, 'no': 4, 'w': '?'}, {'s': n - 2, 'e': n + 5, 'no': 5, 'w': '!'}, {'s': n, 'e': n, 'no': 6, 'w': 'end'}, {'s': n // 2 + 1, 'e': n // 2 + 1, 'no': 8, 'w': 'in'}]) as ed, n from d),
+l as (select doc_id, list(ed order by ed.s, ed.e, ed.no) filter (where ed.s >= 0 and ed.e <= n) as l, count(*) filter (where ed.s < 0 or ed.e > n) as outside from e group by doc_id),
+r as (select d.doc_id, text, outside, len(l) as n, list_reduce(list_concat([{'s': 0, 'e': 0, 'no': 0, 'w': '', 'at': 0, 'out': '', 'k': 0}], list_transform(l, lambda x: {'s': x.s, 'e': x.e, 'no': x.no, 'w': x.w, 'at': 0, 'out': '', 'k': 0})),
+  lambda a, x: case when x.s >= a.at then {'s': 0, 'e': 0, 'no': 0, 'w': '', 'at': x.e, 'out': a.out || substr(text, a.at + 1, x.s - a.at) || x.w, 'k': a.k + 1} else a end) as r from d join l using (doc_id))
+select doc_id, r.out || substr(text, r.at + 1) as text, r.k::bigint as n_applied, outside as n_outside, (n - r.k)::bigint as n_overlapping from r""")
+def spliced_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts after edits at places that touch, overlap and reach beyond them."""
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    n = F.length("text")
+    third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    places = [(third, third + 5, ""), (third, third, "["), (third, third, "]"), (half, half + 7, F.col("doc_id").cast("string")), (half + 3, half + 9, "?"), (n - 2, n + 5, "!"), (n, n, "end"), (half + 1, half + 1, "in")]
+    edits = F.array(*[F.struct(a.alias("start"), b.alias("end"), (F.lit(w) if isinstance(w, str) else w).alias("with"), F.lit(no).alias("no")) for (a, b, w), no in zip(places, (2, 1, 7, 3, 4, 5, 6, 8), strict=True)])
+    return splices.spliced(texts, texts.select("doc_id", F.inline(edits)), "doc_id")
+
+
+@query("""
+with d as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as w from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+f as (select doc_id, trim(line) as anchor, min(i) as i from l where trim(line) <> '' group by all),
+t as (select doc_id, unnest([{'no': 1, 'a': w[1], 't': '| a | b |'}, {'no': 2, 'a': '  ' || w[len(w) // 2 + 1], 't': '| ' || doc_id || ' |'}, {'no': 3, 'a': 'no such line', 't': '| c |'}, {'no': 4, 'a': w[1], 't': '| second |'}], recursive := false) as t from d),
+p as (select t.doc_id, t.t.no as no, t.t.t as body, coalesce(f.i, (select max(i) from l where l.doc_id = t.doc_id)) as i from t left join f on f.doc_id = t.doc_id and f.anchor = trim(t.t.a)),
+g as (select doc_id, i, string_agg(chr(10) || chr(10) || body || chr(10), '' order by no) as more from p group by all)
+select l.doc_id, string_agg(line || coalesce(more, ''), chr(10) order by l.i) as text from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id""")
+def anchored_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables set below the lines that announce them, in whole texts; those whose line is not there at the end."""
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    first, middle = F.get(lines, F.lit(0)), F.get(lines, F.floor(F.size(lines) / 2).cast("int"))
+    row = lambda no, anchor, body: F.struct(F.lit(no).alias("no"), anchor.alias("anchor"), body.alias("table"))
+    tables = F.array(row(1, first, F.lit("| a | b |")), row(2, F.concat(F.lit("  "), middle), F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" |"))), row(3, F.lit("no such line"), F.lit("| c |")), row(4, first, F.lit("| second |")))
+    edits = splices.below_anchors(texts, texts.select("doc_id", F.inline(tables)), "doc_id")
+    return splices.spliced(texts, edits, "doc_id").select("doc_id", "text")
