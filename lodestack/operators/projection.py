@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.intervals import scalar_kind
+from lodestack.functions.labels import formula_label
+from lodestack.functions.spans import math_spans
 from lodestack.operators.tables import MAX_CELLS, MAX_CHARS, MAX_SPAN
 
 # Words that make a table's values depend on something that its cells do not say.
@@ -168,3 +170,20 @@ def project(cells: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def html_of(rows: Column, caption: Column) -> Column:
     """An HTML table of an array of row texts (each ``<tr>...</tr>``) and a caption, which may be null."""
     return F.concat(F.lit("<table>"), F.coalesce(F.concat(F.lit("<caption>"), caption, F.lit("</caption>")), F.lit("")), F.array_join(rows, ""), F.lit("</table>"))
+
+
+def cell_formulas(cells: DataFrame, key: str) -> DataFrame:
+    """(key, source, start, end, latex, label, source_ref): the formulas within each cell, never across cells, with the offsets that cut them from its text."""
+    found = cells.where("kind = 'cell'").select(key, F.col("ref").alias("source"), "text", F.inline(math_spans(F.col("text")))).where("complete")
+    latex = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    ref = F.concat_ws(":", F.col(key).cast("string"), "source", F.col("start").cast("string"), F.col("end").cast("string"))
+    inner = F.regexp_replace(latex, r"^(?:\$\$?|\\[\[(])|(?:\$\$?|\\[\])])$", "")
+    return found.select(key, "source", "start", "end", latex.alias("latex"), formula_label(inner).alias("label"), ref.alias("source_ref"))
+
+
+def bound(formulas: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``named`` (key, source, latex, and others) with ``source_ref``, the one formula of that cell that is written so, and ``verdict``: found, none, several."""
+    counts = formulas.groupBy(key, "source", "latex").agg(F.count("*").alias("_n"), F.min("source_ref").alias("source_ref"))
+    met = named.join(counts, [key, "source", "latex"], "left")
+    verdict = F.when(F.col("_n").isNull(), "none").when(F.col("_n") > 1, "several").otherwise("found")
+    return met.withColumn("verdict", verdict).withColumn("source_ref", F.when(F.col("verdict") == "found", F.col("source_ref"))).drop("_n")

@@ -97,3 +97,30 @@ def markdown_cells(line: Column) -> Column:
     inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
     cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     return F.when(F.contains(line, F.lit("|")) & ~F.regexp_like(line, F.lit(r"^[\s|:-]+$")), cells)
+
+
+def rendered(grid: DataFrame, key: str) -> DataFrame:
+    """(key, markdown, csv, tsv, json) of grids (key, row, col, text), each place once.
+
+    Short rows are filled up with blanks, line breaks in cells are spaces in all but json. Markdown escapes bars, and has the first row as its
+    head; csv quotes commas, quotes and breaks. json is an array of objects by the head's names: blank ones are Col and their number, a name that
+    comes again has its number behind it, so no cell is lost; a grid of a head alone is an empty array.
+    """
+    from lodestack.sources.tables import delimited, markdown_row
+
+    width = grid.groupBy(key).agg((F.max("col") + 1).alias("width"))
+    places = F.map_from_entries(F.collect_list(F.struct("col", "text")))
+    rows = grid.groupBy(key, "row").agg(places.alias("at")).join(width, key)
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.coalesce(F.try_element_at("at", j), F.lit("")))
+    tables = rows.select(key, "width", "row", cells.alias("cells")).groupBy(key).agg(F.first("width").alias("width"), F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
+    flat = F.transform("rows", lambda r: F.transform(r, lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")))
+    head = F.get("rows", F.lit(0))
+    named = F.transform(head, lambda c, i: F.when(c == "", F.concat(F.lit("Col"), (i + 1).cast("string"))).otherwise(c))
+    unique = F.transform(F.col("named"), lambda c, i: F.when(F.array_position(F.col("named"), c) == i + 1, c).otherwise(F.concat(c, F.lit("_"), (i + 1).cast("string"))))
+    made = tables.withColumns({"flat": flat, "named": named}).withColumn("names", unique)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
+    body = F.slice("flat", F.lit(2), F.greatest(F.size("flat") - 1, F.lit(0)))
+    markdown = F.array_join(F.concat(F.array(markdown_row(F.get("flat", F.lit(0))), rule), F.transform(body, markdown_row)), "\n")
+    lines = lambda d: F.array_join(F.transform("flat", lambda r: delimited(r, d)), "\n")
+    records = F.transform(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: F.map_from_arrays("names", r))
+    return made.select(key, markdown.alias("markdown"), lines(",").alias("csv"), lines("\t").alias("tsv"), F.to_json(records).alias("json"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import alignment, areas, projection
+from lodestack.operators import alignment, areas, projection, tables
 from lodestack.registry import query, table
 
 # Tables are made of four parts each, with shapes that follow their number t: heads of one or two rows, heads written as plain
@@ -192,3 +192,47 @@ def reading_areas(spark: SparkSession, sf: str) -> DataFrame:
     x0, y0 = (F.col("l_partkey") % 24) / 25, (F.col("l_suppkey") * 7 % 30) / 31
     corners = {"x0": x0, "x1": x0 + (F.col("l_quantity") % 6 + 1) / 60, "y0": y0, "y1": y0 + (F.col("l_partkey") % 9 + 1) / 150}
     return areas.reading_areas(line.select("page", box.alias("box"), *[c.alias(k) for k, c in corners.items()]), "page")
+
+
+@query(
+    _PROJECTED.rstrip()
+    + """,
+q as (select t, r, unnest(range(0, width)) as c from (select t, width, unnest(range(0, n_rows)) as r from shape)),
+w as (select q.t, q.r, q.c, text from q left join (select t, r, c, any_value(text) as text from places group by t, r, c) p using (t, r, c)),
+rws as (select t, r, list(coalesce(text, '') order by c) as cells from w group by t, r),
+h as (select t, list_transform(cells, lambda x, i: case when x = '' then 'Col' || i else x end) as names from rws where r = 0),
+u as (select t, list_transform(names, lambda x, i: case when list_position(names, x) = i then x else x || '_' || i end) as names from h),
+m as (select t, r, '| ' || array_to_string(list_transform(cells, lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |' as md, array_to_string(list_transform(cells, lambda x: case when regexp_matches(x, '[,"]') then '"' || replace(x, '"', '""') || '"' else x end), ',') as csv, array_to_string(cells, chr(9)) as tsv,
+  '{' || array_to_string(list_transform(cells, lambda x, i: '"' || names[i] || '":"' || replace(x, '"', chr(92) || '"') || '"'), ',') || '}' as obj, len(cells) as n from rws join u using (t))
+select t, string_agg(md || case when r = 0 then chr(10) || '|' || repeat(' --- |', n) else '' end, chr(10) order by r) as markdown, string_agg(csv, chr(10) order by r) as csv, string_agg(tsv, chr(10) order by r) as tsv, '[' || coalesce(string_agg(obj, ',' order by r) filter (where r > 0), '') || ']' as json from m group by t"""
+)
+def table_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """HTML tables of all shapes as markdown, comma- and tab-separated rows, and JSON records."""
+    cells = projection.source_cells(_sheets(spark, sf), "t", "html")
+    grid = projection.places(cells, "t").select("t", F.col("r").alias("row"), F.col("c").alias("col"), "text")
+    return tables.rendered(grid, "t")
+
+
+@query(r"""
+with p as (select p_partkey as k, p_name as name, p_size as s, p_brand as b from part),
+c as (select k, 'r1c0' as source, unnest([{'a': 'size ', 'f': '$x=' || s || '$'}, {'a': ' and ', 'f': '$$y_{' || k || '} (2.' || s % 7 || ')$$'}, {'a': ' or ', 'f': case when k % 3 = 0 then '$x=' || s || '$' else '' end}], recursive := false) as u, unnest([1, 2, 3]) as i from p
+  union all select k, 'r1c1', {'a': name || ' ', 'f': '\(z \tag{' || s || '}\)'}, 1 from p where k % 2 = 0 union all select k, 'r1c1', {'a': name, 'f': ''}, 1 from p where k % 2 = 1),
+o as (select k, source, u.f as latex, sum(length(u.a) + length(u.f)) over (partition by k, source order by i)::bigint as stop from c),
+f as (select k, source, stop - length(latex) as start, stop, latex, case when latex like '$$%' then '2.' || (select s % 7 from p where p.k = o.k) when latex like '\(%' then (select s from p where p.k = o.k)::varchar end as label from o where latex <> ''),
+n as (select k, unnest(['r1c0', 'r1c0', 'r1c1']) as source, unnest(['$x=' || s || '$', '$$y_{' || k || '} (2.' || s % 7 || ')$$', '\(z \tag{' || s || '}\)']) as latex from p),
+g as (select k, source, latex, count(*) as n, min(k || ':' || source || ':' || start || ':' || stop) as ref, any_value(label) as label from f group by all)
+select n.k as p_partkey, n.source, n.latex, case when g.n is null then 'none' when g.n > 1 then 'several' else 'found' end as verdict, case when g.n = 1 then ref end as source_ref, g.label from n left join (select k, source, latex, sum(n) as n, min(ref) as ref, any_value(label) as label from g group by all) g on g.k = n.k and g.source = n.source and g.latex = n.latex""")
+def cell_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """Formulas that are named for a cell, bound to the one place in it where they are written; none and several are told apart."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    t = lambda c: c.cast("string")
+    x, y, z = F.concat(F.lit("$x="), t(s), F.lit("$")), F.concat(F.lit("$$y_{"), t(k), F.lit("} (2."), t(s % 7), F.lit(")$$")), F.concat(F.lit("\\(z \\tag{"), t(s), F.lit("}\\)"))
+    left = F.concat(F.lit("size "), x, F.lit(" and "), y, F.lit(" or "), F.when(k % 3 == 0, x).otherwise(""))
+    right = F.when(k % 2 == 0, F.concat("p_name", F.lit(" "), z)).otherwise(F.col("p_name"))
+    row = F.concat(F.lit("<tr><td>"), left, F.lit("</td><td>"), right, F.lit("</td></tr>"))
+    parts = table(spark, sf, "part")
+    html = projection.html_of(F.array(F.lit("<tr><th>a</th><th>b</th></tr>"), row), F.lit(None).cast("string"))
+    found = projection.cell_formulas(projection.source_cells(parts.select("p_partkey", html.alias("html")), "p_partkey", "html"), "p_partkey")
+    named = parts.select("p_partkey", F.inline(F.array(*[F.struct(F.lit(ref).alias("source"), latex.alias("latex")) for ref, latex in (("r1c0", x), ("r1c0", y), ("r1c1", z))])))
+    labels = found.groupBy("p_partkey", "source", "latex").agg(F.first("label").alias("label"))
+    return projection.bound(found, named, "p_partkey").join(labels, ["p_partkey", "source", "latex"], "left").select("p_partkey", "source", "latex", "verdict", "source_ref", "label")
