@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import marks as M
-from lodestack.functions import numbers as N
 from lodestack.operators import ledger
 from lodestack.registry import query, table
 
@@ -314,28 +313,6 @@ def rag_content(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null and source is not null").select("doc_id", F.sha2(F.concat_ws("\n\n", *parts), 256).alias("content"))
 
 
-@query(r"""
-with c as (select p_partkey, p_name, p_type as col, case when p_partkey % 7 = 0 then '1:' || p_size when p_partkey % 5 = 0 then p_size || ',5' when p_partkey % 11 = 0 then '' when p_partkey % 3 = 0 then p_name else cast(p_size as varchar) end as v from part),
-k as (select *, case when v = '' then 'blank' when regexp_matches(v, '^[0-9]+:[0-9]+$') then 'ratio' when regexp_matches(v, '^[0-9]+$') then 'integer' when regexp_matches(v, '^[0-9]+,[0-9]+$') then 'decimal' else 'text' end as kind from c where p_name not similar to '.*(steel|copper|nickel|brass|tin|anodized|burnished|plated|polished|brushed).*'),
-n as (select col, count(*) filter (where kind = 'ratio') as r, count(*) filter (where kind = 'integer') as i, count(*) filter (where kind = 'decimal') as d, count(*) filter (where kind = 'text') as t from k group by col)
-select p_partkey, kind, case kind when 'blank' then -0.5 when 'ratio' then 3 + least(2.0, r * 0.4) + 1.5 - case when i > 0 then 1.0 else 0 end when 'integer' then 3 + least(2.0, i * 0.4) + 1.5 - case when r > 0 then 1.5 else 0 end when 'decimal' then 3 + least(2.0, d * 0.4) + 1.5 - case when r > 0 then 0.75 else 0 end else 3 + least(2.0, t * 0.4) end as score from k join n using (col)""")
-def column_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """How well each cell fits its column, by how often the column has cells of its kind and of related ones."""
-    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    v = F.when(key % 7 == 0, F.concat(F.lit("1:"), size)).when(key % 5 == 0, F.concat(size, F.lit(",5"))).when(key % 11 == 0, "").when(key % 3 == 0, F.col("p_name")).otherwise(size)
-    named = F.regexp_like("p_name", F.lit("|".join(N.MATERIALS + N.STATES)))
-    cells = table(spark, sf, "part").where(~named).select("p_partkey", F.col("p_type").alias("col"), N.cell_category(v).alias("kind"))
-    counts = cells.groupBy("col", "kind").count().groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("kind", "count"))).alias("counts"))  # one entry per kind
-    n = lambda kind: F.coalesce(F.try_element_at("counts", kind), F.lit(0))
-    kind, has = F.col("kind"), lambda k: n(F.lit(k)) > 0
-    numeric = ["integer", "decimal", "ratio", "range"]
-    score = F.when(n(kind) > 0, 3 + F.least(F.lit(2.0), n(kind) * 0.4)).otherwise(0.0)
-    score += F.when(kind.isin(numeric) & (has("integer") | has("decimal") | has("ratio") | has("range")), 1.5).otherwise(0.0)
-    score -= F.when((kind == "ratio") & (has("integer") | has("temperature")), 1.0).when((kind == "integer") & has("ratio"), 1.5).when((kind == "decimal") & has("ratio"), 0.75).otherwise(0.0)
-    score += F.when(kind.isin("material", "model", "text") & (has("material") | has("model")), 1.0).when((kind == "status") & has("status"), 1.0).otherwise(0.0)
-    return cells.join(counts, "col").select("p_partkey", "kind", F.when(kind == "blank", -0.5).when(score == 0, -1.0).otherwise(score).alias("score"))
-
-
 @query("""
 select p_partkey, cast(p_partkey % 3 as bigint) as tasks, case when p_partkey % 4 = 0 then 'start' when p_partkey % 5 = 0 then 'end' else '' end as missing, p_partkey % 2 = 0 as gateway from part""")
 def process_structure(spark: SparkSession, sf: str) -> DataFrame:

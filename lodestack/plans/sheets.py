@@ -111,6 +111,28 @@ _RAW = """(case when coalesce(m[kind], 0) > 0 then 300 + least(200, 40 * m[kind]
   + case when kind in ('material', 'model', 'text') and coalesce(m['material'], m['model']) is not null then 100 when kind = 'status' and m['status'] is not null then 100 else 0 end)"""
 
 
+@query(
+    """
+with c as (select p_partkey, p_type as col, lower(trim(case when p_partkey % 7 = 0 then '1:' || p_size when p_partkey % 5 = 0 then p_size || ',5' when p_partkey % 11 = 0 then '' when p_partkey % 13 = 0 then 'brass ' || p_name when p_partkey % 17 = 0 then 'plated' when p_partkey % 19 = 0 then p_size || ' ~ 9' when p_partkey % 23 = 0 then 'n/a' when p_partkey % 29 = 0 then 'm#' || p_size when p_partkey % 3 = 0 then p_name else cast(p_size as varchar) end)) as v from part),
+k as (select *, """
+    + _KIND
+    + """ as kind from c),
+n as (select col, map_from_entries(list((kind, n))) as m from (select col, kind, count(*) as n from k group by all) group by col)
+select p_partkey, kind, ("""
+    + _FIT
+    + ") / 100.0::double as score from (select p_partkey, kind, m, "
+    + _RAW
+    + """ as raw from k join n using (col))"""
+)
+def column_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How well each cell fits its column, by how often the column has cells of its kind and of related ones; all kinds are met."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    v = F.when(k % 7 == 0, F.concat(F.lit("1:"), size)).when(k % 5 == 0, F.concat(size, F.lit(",5"))).when(k % 11 == 0, "").when(k % 13 == 0, F.concat(F.lit("brass "), "p_name")).when(k % 17 == 0, "plated").when(k % 19 == 0, F.concat(size, F.lit(" ~ 9"))).when(k % 23 == 0, "n/a").when(k % 29 == 0, F.concat(F.lit("m#"), size)).when(k % 3 == 0, F.col("p_name")).otherwise(size)
+    cells = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("col"), alignment.cell_kind(v).alias("kind"))
+    counts = cells.groupBy("col", "kind").agg(F.count("*").cast("int").alias("n")).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("counts"))  # an entry a kind
+    return cells.join(counts, "col").select("p_partkey", "kind", (alignment.cell_score(F.col("kind"), F.col("counts")) / 100.0).alias("score"))
+
+
 def _ragged(spark: SparkSession, sf: str) -> DataFrame:
     """(t, row, cells): tables of twelve parts each under a header, with cells of all kinds, some rows short at an end or at both."""
     k = F.col("p_partkey")
