@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import marks as M
+from lodestack.functions import prose as P
 from lodestack.functions import spans
 from lodestack.operators import mentions, sections, splices
 from lodestack.registry import query, table
@@ -192,3 +193,33 @@ def anchored_tables(spark: SparkSession, sf: str) -> DataFrame:
     tables = F.array(row(1, first, F.lit("| a | b |")), row(2, F.concat(F.lit("  "), middle), F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" |"))), row(3, F.lit("no such line"), F.lit("| c |")), row(4, first, F.lit("| second |")))
     edits = splices.below_anchors(texts, texts.select("doc_id", F.inline(tables)), "doc_id")
     return splices.spliced(texts, edits, "doc_id").select("doc_id", "text")
+
+
+@query("""
+with g as (select doc_id, lower(left(text, 60) || case doc_id % 9 when 0 then ' MCP.x' when 1 then ' Deploy it' when 2 then ' an address' when 3 then ' Fetch all' when 4 then ' org chart' when 5 then ' 组织结构' when 6 then ' Mermaid tool ' else '' end) as g, case doc_id % 7 when 0 then 'mcp' when 1 then 'cmdengine' when 2 then 'other' end as r from documents)
+select doc_id, case when r in ('cmdengine', 'mcp') then r when regexp_matches(g, 'mcp[.]|tool |server ') then 'mcp' when regexp_matches(g, 'create|add|assign|bind|update|delete|deploy|start|join') then 'cmdengine' when regexp_matches(g, 'show|list|get|fetch|search|find|convert|ocr|extract') then 'mcp' else 'cmdengine' end as mode,
+  regexp_matches(g, 'organization structure|organization chart|org chart|org tree|organizational tree|mermaid|组织结构|组织机构|组织关系|组织树|机构关系|机构结构') as chart from g""")
+def task_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """How tasks are to be run, by request or by the words of their goal, and whether a chart is asked for."""
+    k = F.col("doc_id")
+    more = F.when(k % 9 == 0, " MCP.x").when(k % 9 == 1, " Deploy it").when(k % 9 == 2, " an address").when(k % 9 == 3, " Fetch all").when(k % 9 == 4, " org chart").when(k % 9 == 5, " 组织结构").when(k % 9 == 6, " Mermaid tool ").otherwise("")
+    goal = F.concat(F.substring("text", 1, 60), more)
+    requested = F.when(k % 7 == 0, "mcp").when(k % 7 == 1, "cmdengine").when(k % 7 == 2, "other")
+    return table(spark, sf, "documents").select("doc_id", P.task_mode(goal, requested).alias("mode"), P.asks_chart(goal).alias("chart"))
+
+
+@query("""
+with d as (select doc_id, replace(text, '$', '') as x, doc_id % 4 as k from documents),
+t as (select doc_id, left(x, length(x) // 3) || '$$a_' || doc_id || ' = 1$$' || case k when 0 then ' and 式中：a 为 ' || doc_id || chr(10) || chr(10) || chr(10) || 'b' || chr(10) || ' $$q$$ ' when 1 then '式中:c' || chr(10) || '## Next ' when 2 then ' none ' else '式中：d' || chr(10) || 'A.2.1 on ' end || substr(x, length(x) // 3 + 1) || '$$z$$' as t from d),
+f as (select doc_id, regexp_extract_all(t, '(?s:[$][$](.*?)[$][$])') as f, string_split_regex(t, '(?s:[$][$](.*?)[$][$])') as p from t),
+b as (select doc_id, unnest(f) as formula, unnest(p[1:len(f)]) as before, unnest(p[2:]) as after, generate_subscripts(f, 1) as place from f),
+v as (select *, regexp_extract(after, '(?s:(式中[:：].*))', 1) as told from b)
+select doc_id, place, formula, length(before) as n_before, length(after) as n_after, left(trim(regexp_replace(string_split_regex(string_split_regex(told, '(?m:^\\s*(?:#{1,6}\\s+|(?:[A-Z][.])?\\d+(?:[.]\\d+){1,}\\s+))')[1], '\\n\\s*[$][$]')[1], '\\n{2,}', chr(10), 'g'), ' ' || chr(10) || chr(9)), 1200) as variables from v""")
+def formula_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Displayed formulas of whole texts, the text up to their neighbours, and what is said of their variables."""
+    k, n, x = F.col("doc_id") % 4, F.col("doc_id").cast("string"), F.replace("text", F.lit("$"), F.lit(""))
+    third = F.floor(F.length(x) / 3).cast("int")
+    more = F.when(k == 0, F.concat(F.lit(" and 式中：a 为 "), n, F.lit("\n\n\nb\n $$q$$ "))).when(k == 1, "式中:c\n## Next ").when(k == 2, " none ").otherwise("式中：d\nA.2.1 on ")
+    text = F.concat(F.substring(x, F.lit(1), third), F.lit("$$a_"), n, F.lit(" = 1$$"), more, F.substring(x, third + 1, F.length(x)), F.lit("$$z$$"))
+    blocks = table(spark, sf, "documents").select("doc_id", F.posexplode(P.formula_blocks(text)).alias("i", "b"))
+    return blocks.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), F.col("b.formula").alias("formula"), F.length("b.before").cast("long").alias("n_before"), F.length("b.after").cast("long").alias("n_after"), P.formula_variables(F.col("b.after")).alias("variables"))
