@@ -83,7 +83,7 @@ select t, case when complete then 'complete' else 'unavailable' end as status, c
 def table_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Which tables are records under a header, and why the others are not."""
     verdicts, _ = projection.project(projection.source_cells(_sheets(spark, sf), "t", "html"), "t")
-    return verdicts.withColumn("reasons", F.array_join("reasons", ","))
+    return verdicts.withColumn("reasons", F.array_join("reasons", ",")).withColumns({c: F.col(c).cast("long") for c in ("n_head", "n_fields", "n_records")})
 
 
 @query(
@@ -95,7 +95,7 @@ from places join verdicts using (t) join fields using (t, c) where reason is nul
 def table_records(spark: SparkSession, sf: str) -> DataFrame:
     """Each value of the projected tables with its column's names, its kind and the cell that it was read from; those of doubtful tables unpublished."""
     _, records = projection.project(projection.source_cells(_sheets(spark, sf), "t", "html"), "t")
-    return records.withColumn("path", F.array_join("path", " / "))
+    return records.withColumn("path", F.array_join("path", " / ")).withColumns({c: F.col(c).cast("long") for c in ("row", "col")})
 
 
 #: The kind of a cell v.
@@ -185,7 +185,7 @@ from rows left join fits using (t, row) left join rows above on above.t = rows.t
 )
 def ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows with missing cells under the columns that they fit best, what is missing taken from the last complete row."""
-    return alignment.aligned(_ragged(spark, sf), "t").withColumn("cells", F.array_join("cells", "|"))
+    return alignment.aligned(_ragged(spark, sf), "t").withColumn("cells", F.array_join("cells", "|")).withColumns({c: F.col(c).cast("long") for c in ("row", "skipped", "source_row")})
 
 
 @query("""
@@ -213,7 +213,7 @@ def reading_areas(spark: SparkSession, sf: str) -> DataFrame:
     box = F.row_number().over(Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
     x0, y0 = (F.col("l_partkey") % 24) / 25, (F.col("l_suppkey") * 7 % 30) / 31
     corners = {"x0": x0, "x1": x0 + (F.col("l_quantity") % 6 + 1) / 60, "y0": y0, "y1": y0 + (F.col("l_partkey") % 9 + 1) / 150}
-    return areas.reading_areas(line.select("page", box.alias("box"), *[c.alias(k) for k, c in corners.items()]), "page")
+    return areas.reading_areas(line.select("page", box.cast("long").alias("box"), *[c.alias(k) for k, c in corners.items()]), "page")
 
 
 @query(
