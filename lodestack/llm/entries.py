@@ -212,6 +212,6 @@ s as (select count(*) as docs, sum(n)::bigint as words from n),
 m as (select doc_id, 50 + (50 * n * docs) // words as m from n, s),
 w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from p group by all), s),
 r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from i join p using (term) join w using (term) join m using (doc_id) group by all)
-select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from r where score > 0
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from r where score > 0
 qualify rank <= 50""",
 }
