@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import executors, schemas, trees
+from lodestack.operators import executors, lookup, schemas, trees
 from lodestack.registry import query, table
 
 _NUMBERED = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
@@ -162,3 +162,31 @@ def org_charts(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     nodes = table(spark, sf, "customer").select(key.alias("id"), F.when(key >= 5, F.floor(key / 3)).alias("parent"))
     return trees.preorder(nodes, nodes.where("id < 5").select(F.col("id").alias("root")), 60)
+
+
+@query("""
+with e as (select p_partkey as id, p_type as kind, [p_name || ' ' || p_partkey % 50, p_brand, 'code-' || p_partkey] as texts from part),
+q as (select c_custkey as k, case when c_custkey % 6 = 0 then (c_custkey * 7)::bigint end as wanted, case c_custkey % 8 when 1 then ' CODE-' || c_custkey when 2 then 'Brand#' || c_custkey % 30 when 3 then 'code-' || c_custkey % 9 when 4 then 'blue' when 5 then '' when 7 then 'g ' || c_custkey % 50 else 'ode-1' || c_custkey % 100 || ' ' end as query,
+  case when c_custkey % 3 = 1 then ['SMALL', 'PROMO', 'LARGE'][c_custkey % 2 + 1] end as kind from customer),
+t as (select id, kind, lower(trim(unnest(texts))) as t from e),
+w as (select k, lower(trim(query)) as q, kind from q where wanted is null and trim(query) <> ''),
+s as (select distinct k, id from w join t on t = q and (w.kind is null or w.kind = t.kind)),
+c as (select distinct k, id from w join t on contains(t, q) and (w.kind is null or w.kind = t.kind) where k not in (select k from s)),
+m as (select k, count(*) as n, min(id) as id, list(id order by id)[1:10] as ids from (select * from s union all select * from c) group by k)
+select q.k as c_custkey, case when wanted is not null then case when wanted in (select id from e) then 'unique' else 'unknown_id' end when trim(query) = '' then 'no_query' when n is null then 'none' when n > 1 then 'several' else 'unique' end as verdict,
+  case when wanted is not null then case when wanted in (select id from e) then wanted end when n = 1 then m.id end as id, case when wanted is not null then (wanted in (select id from e))::int::bigint else coalesce(n, 0) end as n,
+  case when wanted is not null then case when wanted in (select id from e) then wanted::varchar else '' end else coalesce(array_to_string(ids, ','), '') end as candidates from q left join m on m.k = q.k""")
+def resource_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """The one resource that an id or a part of its name, code or brand means; none and several are told apart, several with their first ids."""
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    part = table(spark, sf, "part")
+    number = F.col("p_partkey")
+    entities = part.select(number.alias("id"), F.col("p_type").alias("kind"), F.array(F.concat("p_name", F.lit(" "), text(number % 50)), "p_brand", F.concat(F.lit("code-"), text(number))).alias("texts"))
+    at = lambda n: key % 8 == n
+    words = (
+        F.when(at(1), F.concat(F.lit(" CODE-"), text(key))).when(at(2), F.concat(F.lit("Brand#"), text(key % 30))).when(at(3), F.concat(F.lit("code-"), text(key % 9)))
+        .when(at(4), "blue").when(at(5), "").when(at(7), F.concat(F.lit("g "), text(key % 50))).otherwise(F.concat(F.lit("ode-1"), text(key % 100), F.lit(" ")))
+    )
+    kinds = F.array(F.lit("SMALL"), F.lit("PROMO"), F.lit("LARGE"))
+    queries = table(spark, sf, "customer").select("c_custkey", F.when(key % 6 == 0, key * 7).alias("wanted"), words.alias("query"), F.when(key % 3 == 1, F.get(kinds, (key % 2).cast("int"))).alias("kind"))
+    return lookup.resolve(queries, entities, "c_custkey").withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))
