@@ -26,8 +26,8 @@ SPACE = "▁"
 INDEX_BYTES = 1 << 16
 #: Bytes of text that are cut into segments at once.
 SLICE_BYTES = 1 << 20
-#: Texts that are encoded or decoded at once.
-ROWS = 4096
+#: Texts that are encoded or decoded at once; fewer where both are done, as more is held.
+ROWS, CHECKED_ROWS = 4096, 1024
 _NONE = -1
 
 
@@ -354,12 +354,12 @@ def encode_checked(spark: SparkSession, text: Column, v: Vocabulary) -> Column:
     def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, table = _encoder_of(shipped.value), _piece_table(shipped.value)
         for texts in batches:
-            for i in range(0, len(texts), ROWS):
-                some = texts.slice(i, ROWS)
+            for i in range(0, len(texts), CHECKED_ROWS):
+                some = texts.slice(i, CHECKED_ROWS)
                 ids = encoder.encode(some)
                 same = pc.equal(_joined(ids, table), pc.replace_substring(some, SPACE, " "))
                 yield pa.StructArray.from_arrays([ids, same], names=["ids", "round_trip"])
-            release()
+                release()
 
     return checked(F.coalesce(text, F.lit("")))
 
