@@ -18,6 +18,7 @@ one token alone can be the last one of a prefix.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,6 +76,7 @@ class Machine:
     merges: np.ndarray
     tokens: list[bytes]
     special: list[str]
+    name: str  # tells machines apart
 
 
 def _classes() -> np.ndarray:
@@ -116,8 +118,9 @@ def compile_tokenizer(path: str) -> Machine:
 
     Raises ValueError for others. Special tokens must not be prefixes of each other; they are found in texts as the library does.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        data = f.read()
+    spec = json.loads(data)
     model, cut, added = spec["model"], spec["pre_tokenizer"] or {}, spec.get("added_tokens", [])
     plain = not spec["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
     usual = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
@@ -132,7 +135,7 @@ def compile_tokenizer(path: str) -> Machine:
     merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
     of, ranks = {t: i for i, t in enumerate(tokens) if t}, {(a, b): r for r, (a, b, _) in enumerate(merges.tolist())}
     occurring = [t if t and _occurs(i, tokens, of, ranks) else b"" for i, t in enumerate(tokens)]
-    return Machine(_classes(), merges, occurring, [t["content"] for t in added])
+    return Machine(_classes(), merges, occurring, [t["content"] for t in added], hashlib.sha256(data).hexdigest())
 
 
 class Counter:
@@ -319,15 +322,15 @@ class TokenCounter:
         return total[where[1:]] - total[where[:-1]]
 
 
-_COUNTERS: dict[int, TokenCounter] = {}
+_COUNTERS: dict[str, TokenCounter] = {}
 
 
-def _counter_of(key: int, m: Machine) -> TokenCounter:
-    """One per worker."""
-    if key not in _COUNTERS:
+def _counter_of(m: Machine) -> TokenCounter:
+    """One per worker, of the machine that it was last asked for."""
+    if m.name not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = TokenCounter(m)
-    return _COUNTERS[key]
+        _COUNTERS[m.name] = TokenCounter(m)
+    return _COUNTERS[m.name]
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -350,7 +353,7 @@ def n_tokens(spark: SparkSession, text: Column, m: Machine) -> Column:
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = _counter_of(shipped._id if hasattr(shipped, "_id") else 0, shipped.value)
+        counter = _counter_of(shipped.value)
         for texts in batches:
             yield pa.array(np.concatenate([np.zeros(0, np.int64), *[counter.count(s) for s in _slices(texts)]]), pa.int64())
             release()

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -83,3 +84,14 @@ def test_edges(spark, library, machine):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         token_count.compile_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_two_tokenizers_in_one_session(spark, machine, tmp_path):
+    """Workers stay between queries, and must not count with the tokenizer of the one before."""
+    spec = json.load(open(FILE, encoding="utf-8"))
+    spec["added_tokens"] = []
+    (tmp_path / "plain.json").write_text(json.dumps(spec), encoding="utf-8")
+    plain = token_count.compile_tokenizer(str(tmp_path / "plain.json"))
+    docs = spark.createDataFrame([(i, "a <|endoftext|> b") for i in range(8)], "doc_id long, text string")
+    for m, n in ((machine, 4), (plain, 9), (machine, 4)):
+        assert {r.n_tokens for r in token_count.token_counts(docs, m, limit=1).collect()} == {n}
