@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,11 @@ def spliced(texts: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.coalesce("_done.text", "text").alias("text"), made.cast("long").alias("n_applied"), F.coalesce("n_outside", F.lit(0)).cast("long").alias("n_outside"), (F.coalesce(F.size("_edits"), F.lit(0)) - made).cast("long").alias("n_overlapping"))
 
 
+def trimmed(line: Column) -> Column:
+    """Without the spaces of any kind (Zs, such as no-break spaces) at both ends; tabs stay."""
+    return F.regexp_replace(line, r"^\p{Zs}+|\p{Zs}++\z", "")
+
+
 def below_anchors(texts: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """Edits (for ``spliced``) that set each table of ``tables`` (key, no, anchor, table) below the first line that, trimmed, is its anchor.
 
@@ -41,7 +46,7 @@ def below_anchors(texts: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """
     lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("i", "line"))
     ends = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    firsts = lines.withColumn("end", ends).where("trim(line) <> ''").groupBy(key, F.trim("line").alias("anchor")).agg(F.min("end").alias("at"))
-    placed = tables.withColumn("anchor", F.trim("anchor")).join(firsts, [key, "anchor"], "left").join(texts.select(key, F.length("text").alias("_n")), key)
+    firsts = lines.withColumns({"end": ends, "anchor": trimmed(F.col("line"))}).where("anchor <> ''").groupBy(key, "anchor").agg(F.min("end").alias("at"))
+    placed = tables.withColumn("anchor", trimmed(F.col("anchor"))).join(firsts, [key, "anchor"], "left").join(texts.select(key, F.length("text").alias("_n")), key)
     at = F.coalesce("at", "_n")
     return placed.select(key, at.alias("start"), at.alias("end"), F.concat(F.lit("\n\n"), "table", F.lit("\n")).alias("with"), "no")

@@ -187,7 +187,7 @@ select l.doc_id, string_agg(line || coalesce(more, ''), chr(10) order by l.i) as
 def anchored_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Tables set below the lines that announce them, in whole texts; those whose line is not there at the end."""
     texts = table(spark, sf, "documents").select("doc_id", "text")
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: splices.trimmed(x)), lambda x: x != "")  # as a plain function it would get the index, too
     first, middle = F.get(lines, F.lit(0)), F.get(lines, F.floor(F.size(lines) / 2).cast("int"))
     row = lambda no, anchor, body: F.struct(F.lit(no).alias("no"), anchor.alias("anchor"), body.alias("table"))
     tables = F.array(row(1, first, F.lit("| a | b |")), row(2, F.concat(F.lit("  "), middle), F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" |"))), row(3, F.lit("no such line"), F.lit("| c |")), row(4, first, F.lit("| second |")))

@@ -42,3 +42,17 @@ def test_anchors(spark):
     tables = spark.createDataFrame([(1, 1, " Table 1", "|a|"), (1, 2, None, "|b|"), (1, 3, "last", "|c|"), (2, 1, "", "|d|")], "k int, no int, anchor string, table string")
     got = {r.k: r.text for r in splices.spliced(texts, splices.below_anchors(texts, tables, "k"), "k").collect()}
     assert got == {1: "Table 1\n\n|a|\n\ntext\n Table 1 \nlast\n\n|b|\n\n\n|c|\n", 2: "\n\n|d|\n"}
+
+
+def test_anchored_tables_with_digits_and_spaces_at_the_ends_of_lines(spark, tmp_path):
+    """The middle line begins with the digit that is its index; others have spaces of other kinds at their ends."""
+    import duckdb
+
+    from lodestack import registry
+
+    made = [(7, "first\n1 second 1\nthird"), (8, "0 a 0\n b\n c　\n2 d"), (9, "\n\n"), (10, " x\nx\n \nx")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["anchored_tables"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["anchored_tables"]).fetchall())
