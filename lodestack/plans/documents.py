@@ -92,17 +92,23 @@ select item_id, doc_id, cast(strpos(d.text, n.text) - 1 as bigint) as start, (le
 def grounding_check(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts that occur verbatim in documents, and whether once: candidates by a hashed anchor, then checked.
 
-    Anchors are the items' first 12 characters, or all of shorter ones; empty items are void. A document's windows of these
-    sizes are looked up in the anchors, which are broadcast if they are few, so that no window is shuffled then.
+    An item's anchor is the 12 characters from its first word that begins within it; without one, its first 12 characters, or all
+    of shorter items; empty items are void. A document has such windows at its words, and everywhere only if an item needs that.
+    They are looked up in the anchors, which are broadcast if they are few, so that no window is shuffled then. Windows come from
+    one pass over stretches of the text, as a cut at a place would count the characters from the text's beginning each time.
     """
-    most = 12
-    items = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"), F.least(F.length("text"), F.lit(most)).alias("size"))
-    items = items.withColumn("anchor", F.xxhash64("size", F.substring(F.col("quote"), F.lit(1), F.col("size"))))
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # 12 at most
-    windows = [F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.xxhash64(F.lit(n), F.substring(F.col("text"), i, F.lit(n)))) for n in sizes]  # noqa: B023
-    windows = [F.when(F.length("text") >= n, w).otherwise(F.array().cast("array<bigint>")) for n, w in zip(sizes, windows, strict=True)]
-    anchors = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *windows))).alias("anchor"))
-    pairs = anchors.join(lookup.few(items), "anchor").select("doc_id", "item_id", "quote")
+    most, stretch = 12, 4096
+    word = F.regexp_extract("text", r"(?s)^.+?(?<=[ \n])([^ \n].{11})", 1)
+    size = F.when(word != "", 0).otherwise(F.least(F.length("text"), F.lit(most)))
+    items = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"), size.alias("size"), word.alias("word"))
+    items = items.withColumn("anchor", F.xxhash64("size", F.when(F.col("size") == 0, F.col("word")).otherwise(F.substring(F.col("quote"), F.lit(1), F.col("size")))))
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # 13 at most; 0 is at words
+    stretches = _docs(spark, sf).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{stretch + most}}})).{{1,{stretch}}}"), F.lit(1))).alias("part"))
+    at = lambda n: f"(?s)(?=(.{{{n}}}))" if n else r"(?s)(?<=[ \n])(?=([^ \n].{11}))"
+    windows = [F.transform(F.regexp_extract_all("part", F.lit(at(n)), F.lit(1)), lambda w: F.xxhash64(F.lit(n), w)) for n in sizes]  # noqa: B023
+    anchors = stretches.select("doc_id", F.explode(F.concat(F.array().cast("array<bigint>"), *windows)).alias("anchor"))
+    known = anchors.join(lookup.few(items.select("anchor").distinct()), "anchor", "left_semi").distinct()
+    pairs = known.join(lookup.few(items), "anchor").select("doc_id", "item_id", "quote")
     hits = pairs.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote")))
     once = F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit(""))) == F.length("quote")
     return hits.select("item_id", "doc_id", (F.expr("locate(quote, text)") - 1).cast("long").alias("start"), once.alias("is_unique"))
