@@ -102,7 +102,8 @@ def math_spans(text: Column) -> Column:
         tail = lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["found"], F.named_struct(F.lit("start"), acc["begin"], F.lit("end"), F.length(s), F.lit("complete"), F.lit(False)))).otherwise(acc["found"])
         return F.aggregate(steps, start, step, tail)
 
-    return _let(F.coalesce(text, F.lit("")), scan)
+    signed = F.contains(text, F.lit("$")) | F.contains(text, F.lit("\\"))  # no sign is without one of these
+    return F.when(signed, _let(text, scan)).otherwise(F.array().cast(_SPAN))
 
 
 def math_contents(text: Column, spans: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import spans as S
+from lodestack.operators.rounds import settled
 
 # How notes to a formula begin, what a definition looks like, what a label never holds and how long it may be.
 NOTE = r"(?i)^(?:(?:Exception|Note)\s*:|Except\b|Unless\b|注[:：]|例外[:：])"
@@ -53,7 +54,7 @@ def sections(texts: DataFrame, key: str) -> DataFrame:
     belong to it. ``start`` and ``end`` count characters of the text, and cut from it exactly ``text``. A section's items are
     numbered from 1; a section without items has one row with item 0 and its title's offsets. Nulls and blank texts have none.
     """
-    lines = text_lines(texts, key)
+    lines = settled(text_lines(texts, key), "lines")  # read several times below
     ordered = Window.partitionBy(key).orderBy("start")
     whole = Window.partitionBy(key)
     following, after = F.lead("value").over(ordered), F.lead("spans").over(ordered)
@@ -95,8 +96,8 @@ def sections(texts: DataFrame, key: str) -> DataFrame:
 def tidied(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(tidy, map) of ``texts`` (key, text): white space at the ends of lines, and blank lines, taken out, but for lines that formulas touch.
 
-    ``tidy`` has the key and text. ``map`` has the key, place, source and length of each run that was kept: ``length`` characters from
-    ``place`` of the tidy text are those from ``source`` of the given one, in which a break of two characters counts as one.
+    ``tidy`` has the key and text. ``map`` has the key, place, source and length of each run that was kept, and its text: ``length`` characters
+    from ``place`` of the tidy text are those from ``source`` of the given one, in which a break of two characters counts as one.
     """
     plain = texts.select(key, F.regexp_replace("text", "\r\n?", "\n").alias("text"))
     marked = plain.select(key, S.math_spans(F.col("text")).alias("spans"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.length("line"))
@@ -105,12 +106,12 @@ def tidied(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     kept = placed.withColumn("touched", touched).withColumn("kept", F.when(F.col("touched"), F.col("line")).otherwise(S.strip(F.col("line"))))
     kept = kept.where("touched or kept <> ''").withColumn("source", F.col("at") + F.when(F.col("touched"), 0).otherwise(F.col("n") - F.length(F.regexp_replace("line", r"^\s+", ""))))
     w = Window.partitionBy(key).orderBy("i")
-    runs = kept.withColumn("place", F.sum(F.length("kept") + 1).over(w) - F.length("kept") - 1)
+    runs = settled(kept.withColumn("place", F.sum(F.length("kept") + 1).over(w) - F.length("kept") - 1).select(key, "i", "kept", "source", "place"), "runs")  # read twice below
     joined = runs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "kept"))), lambda x: x["kept"]), "\n").alias("joined"))
     ends = joined.select(key, S.strip(F.col("joined")).alias("text"), (F.length("joined") - F.length(F.regexp_replace("joined", r"^\s+", ""))).alias("lead"))
     tidy = plain.select(key).join(ends, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
     # what is cut off at the text's own ends leaves the runs there shorter
     at = F.col("place") - F.col("lead")
-    begin, end = F.greatest(at, F.lit(0)), F.least(at + F.length("kept"), F.length("text"))
-    mapped = runs.join(ends, key).select(key, begin.alias("place"), (F.col("source") + begin - at).cast("int").alias("source"), (end - begin).alias("length"))
-    return tidy, mapped.where("length > 0").select(key, F.col("place").cast("int").alias("place"), "source", F.col("length").cast("int").alias("length"))
+    begin, end = F.greatest(at, F.lit(0)), F.least(at + F.length("kept"), F.col("n"))
+    mapped = runs.join(ends.select(key, "lead", F.length("text").alias("n")), key).select(key, begin.alias("place"), (F.col("source") + begin - at).cast("int").alias("source"), (end - begin).alias("length"), F.substring(F.col("kept"), (begin - at + 1).cast("int"), (end - begin).cast("int")).alias("text"))
+    return tidy, mapped.where("length > 0").select(key, F.col("place").cast("int").alias("place"), "source", F.col("length").cast("int").alias("length"), "text")

@@ -154,9 +154,8 @@ def tidy_map(spark: SparkSession, sf: str) -> DataFrame:
     plain = lambda t: F.translate(t, "$\\", "")
     line = lambda t, i: F.when(k(i) == 0, "").when(k(i) == 1, F.concat(F.lit("  "), plain(t), F.lit(" "))).when(k(i) == 2, "   ").otherwise(plain(t))
     given = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
-    tidy, mapped = sections.tidied(given, "doc_id")
-    cut = mapped.join(tidy, "doc_id").withColumn("text", F.substring(F.col("text"), F.col("place") + 1, F.col("length")))
-    return cut.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "source", "length")], "text")
+    mapped = sections.tidied(given, "doc_id")[1]
+    return mapped.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "source", "length")], "text")
 
 
 @query("""
