@@ -20,6 +20,19 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of a task where rows of a group are sorted: some ten of MB for each of its sorts, at any size of the input.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by its key to as many tasks as Spark shuffles to, or more, so that none gets more than about TASK_ROWS of ``rows``.
+
+    For small files with much work on each row, which are read in one task, and for sorts within groups. AQE keeps the number.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, -(-(rows or 0) // TASK_ROWS)), key)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read again: a lost executor costs one round."""
     path = f"{folder(df.sparkSession)}/lodestack/{name}-{uuid.uuid4().hex}"

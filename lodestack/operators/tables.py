@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.rounds import spread
+
 # Budgets of a source table.
 MAX_CHARS, MAX_CELLS, MAX_SPAN = 200_000, 2_000, 100
+#: Tables whose cells are held at once in a Python task.
+ROWS = 256
 
 
 class _Cells(HTMLParser):
@@ -81,15 +85,17 @@ def grid(source: str | None) -> list[tuple[int, int, int, int, str, str]]:
 
 
 def html_cells(documents: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """The grid of each document's first table, a row per position. Documents are independent; there is no shuffle."""
+    """The grid of each document's first table, a row per position. Documents are independent; they are dealt to all tasks, as parsing is the work."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [id_col, "row", "col", "source_row", "source_col", "status", "text"]
         for pdf in batches:
-            yield pd.DataFrame([(i, *cell) for i, source in zip(pdf[id_col], pdf[html_col], strict=True) for cell in grid(source)], columns=names)
+            for at in range(0, len(pdf), ROWS):  # few tables at once, as each may be many cells
+                part = pdf.iloc[at : at + ROWS]
+                yield pd.DataFrame([(i, *cell) for i, source in zip(part[id_col], part[html_col], strict=True) for cell in grid(source)], columns=names)
 
-    return documents.select(id_col, html_col).mapInPandas(parse, f"{id_col} {kind}, row int, col int, source_row int, source_col int, status string, text string")
+    return spread(documents.select(id_col, html_col), id_col).mapInPandas(parse, f"{id_col} {kind}, row int, col int, source_row int, source_col int, status string, text string")
 
 
 def markdown_cells(line: Column) -> Column:
