@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from lodestack.functions.intervals import scalar_kind
 from lodestack.functions.labels import formula_label
 from lodestack.functions.spans import math_spans
-from lodestack.operators.tables import MAX_CELLS, MAX_CHARS, MAX_SPAN
+from lodestack.operators.rounds import spread
+from lodestack.operators.tables import MAX_CELLS, MAX_CHARS, MAX_SPAN, ROWS
 
 # Words that make a table's values depend on something that its cells do not say.
 CONDITIONAL = r"(?i)\b(if|except|unless|only|note|see|interpolat\w*)\b|仅|除外|条件|插值|注[:：]|续表"
@@ -89,15 +90,17 @@ def parse(source: str | None) -> list[tuple]:
 
 
 def source_cells(tables: DataFrame, key: str, html: str) -> DataFrame:
-    """The key with the cells and captions (CELLS) of each table; tables are independent, so nothing is shuffled."""
+    """The key with the cells and captions (CELLS) of each table; tables are independent and dealt to all tasks, as parsing is the work."""
     names = [key, *[c.split()[0] for c in CELLS.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, *cell) for k, source in zip(pdf[key], pdf[html], strict=True) for cell in parse(source)]
-            yield pd.DataFrame(rows, columns=names).astype(object)
+            for at in range(0, len(pdf), ROWS):  # few tables at once, as each may be many cells
+                part = pdf.iloc[at : at + ROWS]
+                rows = [(k, *cell) for k, source in zip(part[key], part[html], strict=True) for cell in parse(source)]
+                yield pd.DataFrame(rows, columns=names).astype(object)
 
-    return tables.select(key, html).mapInPandas(run, f"{key} {tables.schema[key].dataType.simpleString()}, {CELLS}")
+    return spread(tables.select(key, html), key).mapInPandas(run, f"{key} {tables.schema[key].dataType.simpleString()}, {CELLS}")
 
 
 def places(cells: DataFrame, key: str) -> DataFrame:
