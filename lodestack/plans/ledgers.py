@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import marks as M
 from lodestack.operators import ledger
+from lodestack.operators.rounds import spread
 from lodestack.registry import query, table
 
 
@@ -88,6 +89,7 @@ def reading_bands(spark: SparkSession, sf: str) -> DataFrame:
     """The boxes of a page in horizontal bands, from the top: a new one begins where all boxes before have ended."""
     top = F.col("l_partkey") % 300
     boxes = table(spark, sf, "lineitem").select("l_orderkey", top.alias("y0"), (top + F.col("l_quantity")).alias("y1"))
+    boxes = spread(boxes, "l_orderkey", boxes.count())
     return ledger.bands(boxes, "l_orderkey", "y0", "y1").groupBy("l_orderkey", "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.count("*").alias("boxes"))
 
 
@@ -319,9 +321,12 @@ def process_structure(spark: SparkSession, sf: str) -> DataFrame:
     """A process definition's tasks and gateways, counted in its XML, and the first of its two ends that it lacks."""
     key = F.col("p_partkey")
     xml = F.concat(F.lit("<d><process>"), F.when(key % 4 != 0, "<startEvent/>").otherwise(""), F.repeat(F.lit("<userTask/>"), (key % 3).cast("int")), F.when(key % 2 == 0, "<exclusiveGateway/>").otherwise(""), F.when((key % 5 != 0) | (key % 4 == 0), "<endEvent/>").otherwise(""), F.lit("</process></d>"))
-    count = lambda step: F.xpath_long("xml", F.lit(f"count(/d/process/{step})"))
-    missing = F.when(count("startEvent") == 0, "start").when(count("endEvent") == 0, "end").otherwise("")
-    return table(spark, sf, "part").select("p_partkey", xml.alias("xml")).select("p_partkey", count("userTask").alias("tasks"), missing.alias("missing"), (count("exclusiveGateway") > 0).alias("gateway"))
+    steps = ("userTask", "startEvent", "endEvent", "exclusiveGateway")
+    counts = F.xpath_string("xml", F.lit("concat(" + ",' ',".join(f"count(/d/process/{s})" for s in steps) + ")"))  # all from one parse
+    made = spread(table(spark, sf, "part").select("p_partkey", xml.alias("xml")), "p_partkey").select("p_partkey", F.split(counts, " ").cast("array<bigint>").alias("n"))
+    tasks, starts, ends, gateways = (F.get("n", F.lit(i)) for i in range(4))
+    missing = F.when(starts == 0, "start").when(ends == 0, "end").otherwise("")
+    return made.select("p_partkey", tasks.alias("tasks"), missing.alias("missing"), (gateways > 0).alias("gateway"))
 
 
 @query("""
