@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators.rounds import settled
+from lodestack.operators.rounds import settled, spread
 
 #: Boxes of a page: below, there is nothing to cut; beyond, a page is taken for misread.
 FEWEST, MOST = 2, 16
@@ -51,7 +51,7 @@ def reading_areas(boxes: DataFrame, key: str) -> DataFrame:
     open_ = settled(boxes.join(pages, key).select(key, "box", "x0", "y0", "x1", "y1").withColumns(start), "open")
     done, stuck = [], []
     while not open_.isEmpty():
-        cut = settled(_cut(open_, key), "cut")
+        cut = settled(_cut(spread(open_, key, open_.count()), key), "cut")
         stuck.append(cut.where("axis is null").select(key).distinct())
         sized = cut.where("axis is not null").drop("axis").withColumn("n", F.count("*").over(Window.partitionBy(key, "path")))
         done.append(sized.where("n = 1"))
