@@ -51,14 +51,13 @@ def relations(texts: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     asked = pairs.where((F.lower("a") != F.lower("b")) & (F.length("b") >= 3))
     one = lambda c: places(texts, asked.select(key, F.col(c).alias("name")), key)
     met = near_pairs(one("a"), one("b"), key).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("met"))  # of one text
-    low = F.lower("text")
 
     def doubtful(p):
         begin = F.greatest(p["start"] - BEFORE, F.lit(0))
-        around = F.substring(low, begin + 1, p["end"] + AFTER - begin)
-        return reduce(lambda x, y: x | y, [F.contains(around, F.lit(t)) for t in APART])
+        around = F.array(F.substring("low", begin + 1, p["end"] + AFTER - begin))  # made once for all words
+        return F.exists(around, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in APART]))
 
-    seen = texts.select(key, "text").join(met, key).select(key, F.exists("met", doubtful).alias("doubt"), F.size("met").cast("long").alias("n"), F.array_min("met").alias("first"))
+    seen = texts.select(key, F.lower("text").alias("low")).join(met, key).select(key, F.exists("met", doubtful).alias("doubt"), F.size("met").cast("long").alias("n"), F.array_min("met").alias("first"))
     joined = pairs.select(key).join(seen, key, "left")
     verdict = F.when(F.col("n").isNull(), "none").when(F.col("doubt"), "ambiguous").otherwise("found")
     place = lambda c: F.when(F.col("verdict") == "found", F.col(f"first.{c}"))
