@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Documents whose lines and chunks are held at once in a task.
+ROWS = 64
+
+
 def pack_lines(lines: list[str], size: int) -> list[str]:
     """Adjacent lines joined while they fit; a longer line is a chunk of its own, whole. Table lines stay together apart."""
     chunks: list[str] = []
@@ -31,7 +35,7 @@ def packed(documents: DataFrame, size: int, id_col: str = "doc_id", text_col: st
     kind = documents.schema[id_col].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = [(i, n, len(c), c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, c in enumerate(pack_lines((t or "").split("\n"), size))]
             ids, number, chars, content = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(number, pa.int64()), pa.array(chars, pa.int64()), pa.array(content, pa.string())], [id_col, "chunk", "chars", "content"])
