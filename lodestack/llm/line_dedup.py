@@ -39,7 +39,7 @@ PIECE, ANCHOR = 64, 16
 SMALL_LIST = 8
 #: Characters of all lines of a round's pairs up to which these lines are broadcast: many pairs may be of few lines.
 BROADCAST_TEXT = 8_000_000
-#: Further members, drawn by hash, that long lists are compared with before that, while they hold several components.
+#: Further members, drawn by hash, that long lists which hold several components are compared with before that, all in one round.
 CENTRES = 3
 
 
@@ -192,24 +192,31 @@ def line_groups(lines: DataFrame, percent: int = 80) -> DataFrame:
     pairs, many = _pairs(_posted(lines, materialize(_signed(lines), "signed")), percent)
     pairs = materialize(pairs, "pairs")
 
-    def normal_of(candidates: DataFrame) -> DataFrame:
-        names = materialize(candidates.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "names")
-        return materialize(lines.join(small(names, BROADCAST_ROWS), "line", "left_semi").groupBy("line").agg(F.first("normal").alias("normal")), "normal")
+    def names_of(candidates: DataFrame) -> DataFrame:
+        return candidates.select(F.col("a").alias("line")).distinct().union(candidates.select("b").distinct()).distinct()
 
-    links = materialize(_similar(pairs, normal_of(pairs), percent), "links")
-    found = materialize(components(links), "components")
+    # the texts of all lines that any round may compare: lines are read for them once
+    compared = small(materialize(names_of(pairs).union(many.select("line").distinct()).distinct(), "names"), BROADCAST_ROWS)
+    normal = materialize(lines.join(compared, "line", "left_semi").groupBy("line").agg(F.first("normal").alias("normal")), "normal")
+
+    def links_of(candidates: DataFrame) -> DataFrame:
+        names = small(materialize(names_of(candidates), "names"), BROADCAST_ROWS)
+        return materialize(_similar(candidates, normal.join(names, "line", "left_semi"), percent), "links")
+
+    found = materialize(components(links_of(pairs)), "components")
 
     fits = lambda x, y: _lengths(x["n"], y["n"], percent) & _agree(x["signature"], y["signature"])
-    for r in range(CENTRES + 1):
+    for drawn in (True, False):  # first the drawn members of all lists at once, then what they have left between components
         where = many.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
         several = where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         rest = materialize(where.join(several, "key", "left_semi"), "rest")
         if rest.isEmpty():
             break
-        if r < CENTRES:
-            drawn = F.struct(F.xxhash64("line", F.lit(r)).alias("draw"), "line", "n", "signature", "component")
-            led = rest.join(rest.groupBy("key").agg(F.min(drawn).alias("c")), "key").where((F.col("component") != F.col("c.component")) & fits(F.col("c"), rest))
-            met = led.select(F.least("line", "c.line").alias("a"), F.greatest("line", "c.line").alias("b"))
+        if drawn:
+            centres = rest.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("line", F.lit(r)).alias("draw"), "line", "n", "signature", "component")) for r in range(CENTRES)]).alias("c"))
+            others = F.filter("c", lambda c: (c["component"] != F.col("component")) & fits(c, F.struct("n", "signature")))
+            led = rest.join(centres, "key").select("line", F.explode(F.transform(others, lambda c: c["line"])).alias("other"))
+            met = led.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
         else:
             x, y = rest.alias("x"), rest.alias("y")
             alike = _lengths(F.col("x.n"), F.col("y.n"), percent) & _agree(F.col("x.signature"), F.col("y.signature"))
@@ -219,8 +226,7 @@ def line_groups(lines: DataFrame, percent: int = 80) -> DataFrame:
         if more.isEmpty():
             continue
         pairs = pairs.unionByName(more)
-        links = materialize(_similar(more, normal_of(more), percent), "links")
-        found = materialize(components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+        found = materialize(components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links_of(more))), "components")
     return found.select(F.col("node").alias("line"), F.col("component").alias("group"))
 
 

@@ -119,3 +119,16 @@ def test_clashing_names_long_lines_without_spaces_and_lines_of_few_words(spark):
     docs = [(1, han, "H", "s"), (2, han[:100] + "\u4e00" + han[101:], "I", "t"), (3, "a-b " * 3, "J", "u")]
     out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, hash string, _hash string")).collect()}
     assert (out[1].text, out[2].text, out[2].hash, out[2]["_hash"]) == (han, "", "I", "t")
+
+
+def test_members_of_long_lists_are_drawn_in_one_round(spark, monkeypatch):
+    """Lines that share a passage and are not alike: components are made once for first candidates, drawn ones, and what is left, at most."""
+    made = random.Random(6)
+    word = lambda: "".join(made.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(20))
+    docs = [(i, " ".join([*(word() for _ in range(8)), passage, *(word() for _ in range(8))])) for i in range(40)]
+    docs += [(100 + i, docs[i][1].replace(passage[:6], "zz")) for i in range(12)]
+    rounds, components = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda links: rounds.append(1) or components(links))
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute(docs) and len(rounds) <= 3
