@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -72,13 +71,12 @@ class _Leases(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.state.get()
         job = Job(*known) if known else Job()
         before = job.until
-        new = pd.concat(list(rows)).sort_values(["at", "event_id"])  # of one micro-batch
-        for action, now in zip(new["action"], new["at"], strict=True):
-            job = step(job, action, int(now), self.terms)
+        for new in sorted(rows, key=lambda r: (r["at"], r["event_id"] is None, r["event_id"] or 0)):  # of one micro-batch
+            job = step(job, new["action"], new["at"], self.terms)
         self.state.update(tuple(asdict(job).values()))
         if before != job.until:
             if before:
@@ -87,7 +85,7 @@ class _Leases(StatefulProcessor):
                 self.handle.registerTimer(job.until // 1000)
         yield self._row(key, job, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A lease that has run out, or a wait that is over: the job can be claimed."""
         known = self.state.get()
         if known:
@@ -97,8 +95,8 @@ class _Leases(StatefulProcessor):
         return
 
     @staticmethod
-    def _row(key, job: Job, claimable: bool) -> pd.DataFrame:
-        return pd.DataFrame([{"job": key[0], **asdict(job), "claimable": claimable}])
+    def _row(key, job: Job, claimable: bool) -> Row:
+        return Row(job=key[0], **asdict(job), claimable=claimable)
 
 
 def lease_updates(events: DataFrame, terms: Terms, delay: str = "1 minute") -> DataFrame:
@@ -108,7 +106,7 @@ def lease_updates(events: DataFrame, terms: Terms, delay: str = "1 minute") -> D
     lease or of a wait. Events that are later than ``delay`` are dropped by the watermark. Needs the state store PROVIDER.
     """
     timed = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
-    return timed.groupBy("job").transformWithStateInPandas(_Leases(terms), f"job long, {STATE}, claimable boolean", "Update", "EventTime")
+    return timed.groupBy("job").transformWithState(_Leases(terms), f"job long, {STATE}, claimable boolean", "Update", "EventTime")
 
 
 def run_available(events: DataFrame, terms: Terms, folder: str, delay: str = "1 minute") -> None:

@@ -4,6 +4,7 @@ import random
 from dataclasses import astuple
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestack.operators import publications
@@ -110,3 +111,26 @@ def test_artifacts_are_written_once(spark, tmp_path):
     assert publications.damaged(spark, f"{tmp_path}/bent", ["task", "page"], "content").count() == 6
     with pytest.raises(ValueError, match="content"):
         publications.write_once(rows.withColumn("content", F.lit(" ")), ["task", "page"], "content", root)
+
+
+def test_a_job_of_a_batch_is_taken_as_rows_by_time():
+    class Handle:
+        known, timers = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.known
+
+        def update(self, known):
+            self.known = known
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    processor = leases._Leases(TERMS)
+    processor.init(Handle())
+    rows = [Row(job=5, at=20, event_id=1, action="heartbeat"), Row(job=5, at=10, event_id=3, action="heartbeat"), Row(job=5, at=10, event_id=2, action="claim")]
+    (out,) = processor.handleInputRows((5,), iter(rows), None)
+    assert isinstance(out, Row) and (out.job, out.status, out.until, out.claims, out.claimable) == (5, "RUNNING", 20 + TERMS.lease, 1, False)
