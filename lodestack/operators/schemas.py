@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.rounds import settled
+from lodestack.operators.rounds import settled, spread
 
 # Types of fields that hold others, and those that do not; widths.
 LAYOUT_TYPES = ["group", "tabs", "grid", "card"]
 PLAIN_TYPES = ["text", "number", "date", "select", "checkbox"]
 WIDTHS = ["full", "half", "third"]
+#: References of a chain that are followed in one round.
+HOPS = 8
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -28,9 +30,11 @@ def nodes(documents: DataFrame, key: str, json: str) -> DataFrame:
     level = documents.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
     parts = []
     while True:
-        kind = F.when(F.schema_of_variant("v").startswith("OBJECT"), "object").when(F.schema_of_variant("v").startswith("ARRAY"), "array").otherwise("scalar")
-        level = settled(level.withColumn("kind", kind), "level")
-        parts.append(level.select(key, "path", "kind", F.when(F.col("kind") == "scalar", F.try_variant_get("v", "$", "string")).alias("text")))
+        kind = F.when(F.try_variant_get("v", "$", "map<string,variant>").isNotNull(), "object").when(F.try_variant_get("v", "$", "array<variant>").isNotNull(), "array").otherwise("scalar")
+        scalar = F.col("kind") == "scalar"
+        level = level.withColumn("kind", kind).select(key, "path", "kind", F.when(scalar, F.try_variant_get("v", "$", "string")).alias("text"), F.when(~scalar, F.col("v")).alias("v"))
+        level = settled(level, "level")
+        parts.append(level.select(key, "path", "kind", "text"))
         nested = level.where("kind <> 'scalar'")
         if nested.isEmpty():
             return _all(parts)
@@ -45,24 +49,38 @@ def references(values: DataFrame, key: str) -> DataFrame:
 
     References are followed while what they point to holds one itself. The last target counts: ``found`` if it is an object, ``missing``
     if there is nothing or no object, ``outside`` if the reference does not begin with ``#/``, ``cycle`` if a target comes again (then
-    ``target`` is that one). ``hops`` is the number of references followed. One round for each link of the longest chain.
+    ``target`` is that one). ``hops`` is the number of references followed.
+
+    What each reference points to is joined to it once. Chains are followed within their document, up to HOPS links at once; a
+    round for each further HOPS links of the longest chain takes what is still open.
     """
     refs = settled(values.where(F.endswith("path", F.lit("/$ref")) & (F.col("kind") == "scalar")).select(key, F.expr("substring(path, 1, length(path) - 5)").alias("holder"), F.col("text").alias("to")), "references")
-    objects = settled(values.where("kind = 'object'").select(key, F.col("path").alias("at")), "objects")
+    objects = values.where("kind = 'object'").select(key, F.col("path").alias("target"), F.lit(True).alias("there"))
     inner = F.when(F.startswith("to", F.lit("#/")), F.expr("substring(to, 2, length(to))"))
-    links = refs.select(key, "holder", "to", inner.alias("target"))
-    step = links.select(key, F.col("holder").alias("at"), F.col("to").alias("next_to"), F.col("target").alias("next"))
-    open_ = settled(links.select(key, F.col("holder").alias("path"), "to", "target", F.array("holder").alias("seen"), F.lit(1).alias("hops")), "open")
+    links = refs.withColumn("target", inner).join(objects, [key, "target"], "left")
+    link = F.struct(F.coalesce("target", "to").alias("target"), F.when(F.col("target").isNull(), "outside").when(F.col("there").isNull(), "missing").alias("end"))
+    documents = spread(links, key, refs.count()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("holder", link))).alias("links"))
+
+    def start(holder: Column) -> Column:
+        return F.struct(holder.alias("path"), holder.alias("target"), F.array(holder).alias("seen"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("verdict"))
+
+    def onward(s: Column) -> Column:
+        """The state after one more reference; one that has a verdict stays."""
+        met = F.try_element_at("links", s["target"])
+        moved = lambda m: F.struct(s["path"].alias("path"), m["target"].alias("target"), F.concat(s["seen"], F.array(m["target"])).alias("seen"), (s["hops"] + 1).alias("hops"), F.when((F.coalesce(m["end"], F.lit("")) != "outside") & F.array_contains(s["seen"], m["target"]), "cycle").otherwise(m["end"]).alias("verdict"))
+        last = F.struct(s["path"].alias("path"), s["target"].alias("target"), s["seen"].alias("seen"), s["hops"].alias("hops"), F.lit("found").alias("verdict"))
+        return F.when(s["verdict"].isNotNull(), s).otherwise(F.transform(F.array(met), lambda m: F.when(m.isNull(), last).otherwise(moved(m)))[0])
+
+    followed = lambda states: F.transform(states, lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(HOPS)), s, lambda acc, _: onward(acc)))
+    open_ = documents.select(key, "links", F.transform(F.map_keys("links"), start).alias("states"))
     done = []
-    while not open_.isEmpty():
-        met = open_.join(step.withColumnRenamed("at", "target"), [key, "target"], "left").join(objects.select(key, F.col("at").alias("target"), F.lit(True).alias("there")), [key, "target"], "left")
-        again = F.array_contains("seen", F.col("target"))
-        verdict = F.when(F.col("target").isNull(), "outside").when(again, "cycle").when(F.col("there").isNull(), "missing").when(F.col("next_to").isNull(), "found")
-        met = settled(met.withColumn("verdict", verdict), "met")
-        done.append(met.where("verdict is not null").select(key, "path", F.coalesce("target", "to").alias("target"), "verdict", F.col("hops").cast("long").alias("hops")))
-        onward = met.where("verdict is null")
-        open_ = settled(onward.select(key, "path", F.col("next_to").alias("to"), F.col("next").alias("target"), F.concat("seen", F.array("target")).alias("seen"), (F.col("hops") + 1).alias("hops")), "open")
-    return _all(done) if done else open_.select(key, "path", F.col("to").alias("target"), F.lit("found").alias("verdict"), F.col("hops").cast("long").alias("hops"))
+    while True:
+        met = settled(open_.select(key, "links", followed(F.col("states")).alias("states")), "met")
+        ended = met.select(key, F.explode(F.filter("states", lambda s: s["verdict"].isNotNull())).alias("s"))
+        done.append(ended.select(key, "s.path", "s.target", "s.verdict", F.col("s.hops").cast("long").alias("hops")))
+        open_ = met.select(key, "links", F.filter("states", lambda s: s["verdict"].isNull()).alias("states")).where(F.size("states") > 0)
+        if open_.isEmpty():
+            return _all(done)
 
 
 def properties(values: DataFrame, key: str, root: str = "") -> DataFrame:

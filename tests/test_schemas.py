@@ -109,3 +109,14 @@ def test_field_issues_equal_a_walk(spark):
     df = spark.createDataFrame([(i, json.dumps(f)) for i, f in forms] + [(900, None), (901, "{}"), (902, "[")], "k int, f string")
     got = sorted(tuple(r) for r in schemas.field_issues(df, "k", "f", strict=True).collect())
     assert got == sorted((i, *issue) for i, f in forms for issue in field_walk(f))
+
+
+def test_chains_within_one_round_are_followed_without_another(spark, monkeypatch):
+    names, settled = [], schemas.settled
+    monkeypatch.setattr(schemas, "settled", lambda df, name: names.append(name) or settled(df, name))
+    chain = {f"s{i}": {"$ref": f"#/s{i + 1}"} for i in range(schemas.HOPS - 1)} | {f"s{schemas.HOPS - 1}": {}}
+    values = schemas.nodes(spark.createDataFrame([(1, json.dumps(chain))], "k int, j string"), "k", "j")
+    names.clear()
+    got = {r.path: (r.target, r.verdict, r.hops) for r in schemas.references(values, "k").collect()}
+    assert got == {f"/s{i}": (f"/s{schemas.HOPS - 1}", "found", schemas.HOPS - 1 - i) for i in range(schemas.HOPS - 1)}
+    assert names == ["references", "met"]
