@@ -117,7 +117,7 @@ def field_issues(forms: DataFrame, key: str, fields: str, strict: bool = False)
         each = level.select(key, "above", F.posexplode("children").alias("i", "v"))
         place = F.concat("above", F.when(F.col("above") == "", "").otherwise("/"), F.col("i").cast("string"))
         rules = F.coalesce(F.try_variant_get("v", "$.props.validation", "array<variant>"), F.array().cast("array<variant>"))
-        named = each.select(key, place.alias("place"), "v", text("id", "field_id").alias("id"), F.coalesce(text("type", "field_type"), F.lit("")).alias("type"), text("label", "field_name").alias("label"), text("width").alias("width"), F.size(F.filter(rules, lambda r: F.try_variant_get(r, "$.type", "string").isNull())).alias("bad"), F.coalesce(F.try_variant_get("v", "$.children", "array<variant>"), F.array().cast("array<variant>")).alias("children"))
+        named = each.select(key, place.alias("place"), text("id", "field_id").alias("id"), F.coalesce(text("type", "field_type"), F.lit("")).alias("type"), text("label", "field_name").alias("label"), text("width").alias("width"), F.size(F.filter(rules, lambda r: F.try_variant_get(r, "$.type", "string").isNull())).alias("bad"), F.coalesce(F.try_variant_get("v", "$.children", "array<variant>"), F.array().cast("array<variant>")).alias("children"))
         named = settled(named, "fields")
         if named.isEmpty():
             break

@@ -120,3 +120,11 @@ def test_chains_within_one_round_are_followed_without_another(spark, monkeypatch
     got = {r.path: (r.target, r.verdict, r.hops) for r in schemas.references(values, "k").collect()}
     assert got == {f"/s{i}": (f"/s{schemas.HOPS - 1}", "found", schemas.HOPS - 1 - i) for i in range(schemas.HOPS - 1)}
     assert names == ["references", "met"]
+
+
+def test_fields_are_written_without_what_they_were_taken_from(spark, monkeypatch):
+    written, settled = [], schemas.settled
+    monkeypatch.setattr(schemas, "settled", lambda df, name: written.append(df.columns) or settled(df, name))
+    forms = [(1, '[{"id":"g","type":"group","label":"G","children":[{"id":"a","type":"blob"}]}]')]
+    assert [tuple(r) for r in schemas.field_issues(spark.createDataFrame(forms, "k int, f string"), "k", "f").collect()] == [(1, "0/0", "a", "invalid_type")]
+    assert written and not any("v" in columns for columns in written)
