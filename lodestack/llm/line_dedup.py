@@ -41,6 +41,8 @@ SMALL_LIST = 8
 BROADCAST_TEXT = 8_000_000
 #: Further members, drawn by hash, that long lists which hold several components are compared with before that, all in one round.
 CENTRES = 3
+#: Letters that are counted before an alignment, one by one; others are counted as one.
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 
 def normalised(text: Column) -> Column:
@@ -167,6 +169,18 @@ def _agree(x: Column, y: Column) -> Column:
     return F.coalesce(same >= AGREE, F.lit(True))
 
 
+def _letters(normal: Column) -> Column:
+    """How often each of LETTERS stands in a normal form, then how often anything else does."""
+    counts = F.array(*[F.length(normal) - F.length(F.replace(normal, F.lit(c), F.lit(""))) for c in LETTERS])
+    return _let(counts, lambda c: F.concat(c, F.array(F.length(normal) - F.aggregate(c, F.lit(0), lambda acc, v: acc + v))))
+
+
+def _reachable(x: Column, y: Column, percent: int) -> Column:
+    """False where the letters alone show that lines cannot be alike: an edit takes away one letter at most, and brings one at most."""
+    apart = F.aggregate(F.zip_with(x["letters"], y["letters"], lambda p, q: F.abs(p - q)), F.lit(0), lambda acc, v: acc + v)
+    return apart + F.abs(x["n"] - y["n"]) <= 2 * F.floor(F.greatest(x["n"], y["n"]) * (100 - percent) / 100)
+
+
 def _pairs(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b), and (key, line, n, signature) of the long lists.
 
@@ -205,22 +219,23 @@ def line_groups(lines: DataFrame, percent: int = 80) -> DataFrame:
 
     found = materialize(components(links_of(pairs)), "components")
 
-    fits = lambda x, y: _lengths(x["n"], y["n"], percent) & _agree(x["signature"], y["signature"])
+    members = small(materialize(many.select("line").distinct(), "members"), BROADCAST_ROWS)
+    letters = materialize(normal.join(members, "line", "left_semi").select("line", _letters(F.col("normal")).alias("letters")), "letters")
+    fits = lambda x, y: _lengths(x["n"], y["n"], percent) & _agree(x["signature"], y["signature"]) & _reachable(x, y, percent)
     for drawn in (True, False):  # first the drawn members of all lists at once, then what they have left between components
         where = many.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
         several = where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = materialize(where.join(several, "key", "left_semi"), "rest")
+        rest = materialize(where.join(several, "key", "left_semi").join(letters, "line"), "rest")
         if rest.isEmpty():
             break
         if drawn:
-            centres = rest.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("line", F.lit(r)).alias("draw"), "line", "n", "signature", "component")) for r in range(CENTRES)]).alias("c"))
-            others = F.filter("c", lambda c: (c["component"] != F.col("component")) & fits(c, F.struct("n", "signature")))
+            centres = rest.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("line", F.lit(r)).alias("draw"), "line", "n", "signature", "letters", "component")) for r in range(CENTRES)]).alias("c"))
+            others = F.filter("c", lambda c: (c["component"] != F.col("component")) & fits(c, F.struct("n", "signature", "letters")))
             led = rest.join(centres, "key").select("line", F.explode(F.transform(others, lambda c: c["line"])).alias("other"))
             met = led.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
         else:
-            x, y = rest.alias("x"), rest.alias("y")
-            alike = _lengths(F.col("x.n"), F.col("y.n"), percent) & _agree(F.col("x.signature"), F.col("y.signature"))
-            led = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & alike)
+            x, y = (rest.select("key", "component", "line", F.struct("n", "signature", "letters").alias("own")).alias(c) for c in "xy")
+            led = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.own"), F.col("y.own")))
             met = led.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b"))
         more = materialize(met.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():

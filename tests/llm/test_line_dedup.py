@@ -132,3 +132,18 @@ def test_members_of_long_lists_are_drawn_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "components", lambda links: rounds.append(1) or components(links))
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == brute(docs) and len(rounds) <= 3
+
+
+def test_lines_that_cannot_be_alike_by_their_letters_are_not_paired(spark, monkeypatch):
+    """Lines that share a passage only: those whose own words are of other letters meet in first candidates at most."""
+    made = random.Random(7)
+    said = lambda letters, n: " ".join("".join(made.choices(letters, k=6)) for _ in range(n))
+    passage = said("abcdefghij", 30)
+    docs = [(i, " ".join([said(kind, 9), passage, said(kind, 9)])) for i, kind in enumerate(["abcdefghij", "klmnopqrst"] * 40)]
+    rounds, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *rest: rounds.append(pairs.collect()) or similar(pairs, *rest))
+    lines = line_dedup.line_table(spark.createDataFrame(docs, "doc_id long, text string"))
+    group, name = dict(line_dedup.line_groups(lines).collect()), dict(lines.select("line", "doc").collect())
+    assert not group and not alike([t for _, t in docs])
+    later = [(name[r.a] - name[r.b]) % 2 for pairs in rounds[1:] for r in pairs]
+    assert len(later) > 50 and not any(later)
