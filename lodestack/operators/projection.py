@@ -185,8 +185,11 @@ def cell_formulas(cells: DataFrame, key: str) -> DataFrame:
 
 
 def bound(formulas: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """``named`` (key, source, latex, and others) with ``source_ref``, the one formula of that cell that is written so, and ``verdict``: found, none, several."""
-    counts = formulas.groupBy(key, "source", "latex").agg(F.count("*").alias("_n"), F.min("source_ref").alias("source_ref"))
-    met = named.join(counts, [key, "source", "latex"], "left")
+    """``named`` (key, source, latex, and others) with ``source_ref``, the one formula of that cell that is written so, ``label``, theirs, and ``verdict``: found, none, several.
+
+    Both sides may be large, and Spark takes what is parsed from a small file for small; so they are merged, never broadcast.
+    """
+    counts = formulas.groupBy(key, "source", "latex").agg(F.count("*").alias("_n"), F.min("source_ref").alias("source_ref"), F.first("label").alias("label"))
+    met = named.join(counts.hint("merge"), [key, "source", "latex"], "left")
     verdict = F.when(F.col("_n").isNull(), "none").when(F.col("_n") > 1, "several").otherwise("found")
     return met.withColumn("verdict", verdict).withColumn("source_ref", F.when(F.col("verdict") == "found", F.col("source_ref"))).drop("_n")

@@ -256,5 +256,4 @@ def cell_formulas(spark: SparkSession, sf: str) -> DataFrame:
     html = projection.html_of(F.array(F.lit("<tr><th>a</th><th>b</th></tr>"), row), F.lit(None).cast("string"))
     found = projection.cell_formulas(projection.source_cells(parts.select("p_partkey", html.alias("html")), "p_partkey", "html"), "p_partkey")
     named = parts.select("p_partkey", F.inline(F.array(*[F.struct(F.lit(ref).alias("source"), latex.alias("latex")) for ref, latex in (("r1c0", x), ("r1c0", y), ("r1c1", z))])))
-    labels = found.groupBy("p_partkey", "source", "latex").agg(F.first("label").alias("label"))
-    return projection.bound(found, named, "p_partkey").join(labels, ["p_partkey", "source", "latex"], "left").select("p_partkey", "source", "latex", "verdict", "source_ref", "label")
+    return projection.bound(found, named, "p_partkey").select("p_partkey", "source", "latex", "verdict", "source_ref", "label")

@@ -19,6 +19,13 @@ def test_process_definitions_are_parsed_once(spark):
     assert df._jdf.queryExecution().analyzed().toJSON().count("xml.XPath") == 1  # six before
 
 
+def test_formulas_of_cells_are_parsed_once_and_never_broadcast(spark):
+    df = registry.QUERIES["cell_formulas"](spark, SF)
+    assert df.count() == len(df.collect()) == 600
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and plan.count("MapInPandas") == 1 and "Broadcast" not in plan  # two parses and two broadcasts of all formulas before
+
+
 def test_tasks_follow_the_rows(spark):
     few = spark.range(100)
     assert rounds.spread(few, "id", 100).rdd.getNumPartitions() == 4

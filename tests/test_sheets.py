@@ -43,6 +43,16 @@ def test_projection_of_no_tables(spark):
     assert verdicts.count() == records.count() == 0
 
 
+def test_formulas_are_bound_with_their_label(spark):
+    html = r"<table><tr><td>$a$ and $a$, $$b (2.1)$$</td><td>\(c \tag{7}\)</td></tr></table>"
+    found = projection.cell_formulas(projection.source_cells(spark.createDataFrame([(1, html), (2, html)], "t int, html string"), "t", "html"), "t")
+    asked = [(1, "r0c0", "$a$"), (1, "r0c0", "$$b (2.1)$$"), (1, "r0c1", r"\(c \tag{7}\)"), (1, "r0c1", "$a$"), (2, "r0c0", "$$b (2.1)$$"), (3, "r0c0", "$a$"), (None, "r0c0", "$a$")]
+    named = spark.createDataFrame([(*x, i) for i, x in enumerate(asked)], "t int, source string, latex string, i int")
+    got = {r.i: (r.verdict, r.source_ref, r.label) for r in projection.bound(found, named, "t").collect()}
+    none = ("none", None, None)
+    assert got == {0: ("several", None, None), 1: ("found", "1:r0c0:13:24", "2.1"), 2: ("found", "1:r0c1:0:13", "7"), 3: none, 4: ("found", "2:r0c0:13:24", "2.1"), 5: none, 6: none}
+
+
 def align(rows, kinds):
     """All ways to leave columns out at both ends, one row after the other."""
     width, out, before = len(rows[0]), [], None
